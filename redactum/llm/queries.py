@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactum.llm import bpe_count, decontaminate, mixing, secrets_scan, warc
+from redactum.llm import bpe_count, decontaminate, minhash, mixing, secrets_scan, warc
 from redactum.llm import language_id as lid
 
 
@@ -38,6 +38,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, num=85, den=100)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,7 +54,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_decontamination, op4_secrets, op6_language_id, op9_token_counts, op10_warc)}
+    return {f.__name__: f for f in (op2_mixing, op3_decontamination, op4_secrets, op6_language_id, op8_minhash, op9_token_counts, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
