@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactum.llm import bpe_count, decontaminate, minhash, mixing, secrets_scan, warc
+from redactum.llm import bpe_count, decontaminate, line_dedup, minhash, mixing, secrets_scan, warc
 from redactum.llm import language_id as lid
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -54,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_decontamination, op4_secrets, op6_language_id, op8_minhash, op9_token_counts, op10_warc)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_decontamination, op4_secrets, op6_language_id, op8_minhash, op9_token_counts, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
