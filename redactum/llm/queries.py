@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactum.llm import bpe_count, decontaminate, line_dedup, minhash, mixing, secrets_scan, warc
+from redactum.llm import bpe_count, decontaminate, embedding_dedup, line_dedup, minhash, mixing, quality, secrets_scan, warc
 from redactum.llm import language_id as lid
+from redactum.session import ship_package
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,15 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.scan_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lid.fold(F.col("doc_id"), 5) == 0
+    good = quality.trusted(_table(spark, sf_dir, "labels").where(~held_out))
+    model = quality.train(docs.where(~held_out), good)
+    out = quality.score(docs, model, keep=["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = lid.fold(F.col("doc_id"), 4) == 2
@@ -43,6 +53,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
@@ -59,7 +73,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_decontamination, op4_secrets, op6_language_id, op8_minhash, op9_token_counts, op10_warc)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_decontamination, op4_secrets, op5_quality, op6_language_id, op7_embedding_dedup, op8_minhash, op9_token_counts, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
