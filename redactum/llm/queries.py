@@ -72,8 +72,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_decontamination, op4_secrets, op5_quality, op6_language_id, op7_embedding_dedup, op8_minhash, op9_token_counts, op10_warc)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_decontamination, op4_secrets, op5_quality, op6_language_id, op7_embedding_dedup, op8_minhash, op9_token_counts, op10_warc, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
