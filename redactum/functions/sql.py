@@ -5,7 +5,9 @@ from __future__ import annotations
 #: What a JavaScript \\s matches, inside a character class (a fixed value of that dialect).
 BLANKS = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
 #: An ASCII word boundary, whatever letters stand beside it.
-BOUNDARY = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+BOUNDARY = "(?:(?<=\\w)(?!\\w)|(?<!\\w)(?=\\w))"
+#: The same where an ASCII word character is sure to follow.
+BEFORE_WORD = "(?<!\\w)"
 
 
 def lit(s: str | None) -> str:
@@ -18,8 +20,9 @@ def lit(s: str | None) -> str:
 def to_java(pattern: str, flags: str = "") -> str:
     """A pattern of the JavaScript dialect as a Java one with the same matches.
 
-    ``\\s`` takes the wider set of blanks, ``\\b`` looks at ASCII word characters only.
-    ``i`` folds ASCII letters, ``iu`` all letters.
+    ``\\s`` takes the wider set of blanks, ``\\b`` looks at ASCII word characters only;
+    where a pattern or a branch of one starts with it, an ASCII word character has to
+    follow, unless ``u`` is set. ``i`` folds ASCII letters, ``iu`` all letters.
     """
     out, i, inside = [], 0, False
     while i < len(pattern):
@@ -31,7 +34,8 @@ def to_java(pattern: str, flags: str = "") -> str:
             elif n == "S" and not inside:
                 out.append(f"[^{BLANKS}]")
             elif n == "b" and not inside:
-                out.append(BOUNDARY)
+                starts = "u" not in flags and (i == 0 or pattern[i - 1] == "|")
+                out.append(BEFORE_WORD if starts else BOUNDARY)
             else:
                 out.append(c + n)
             i += 2

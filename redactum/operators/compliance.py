@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from redactum.functions.columns import held
 from redactum.functions.rules import HIGH, MEDIUM, STRONG
 from redactum.functions.sql import BLANKS, js_trim, lit, to_java
 
@@ -77,19 +78,19 @@ def assess_compliance(df: DataFrame, jurisdiction: str = "GENERAL", text: str =
     if jurisdiction not in JURISDICTIONS:
         raise ValueError(f"unknown jurisdiction {jurisdiction}")
     t = f"coalesce(`{text}`, '')"
-    df = df.withColumn("all_", F.expr(f"concat({detection}.spans, {detection}.quasi)"))
-    df = df.withColumn("health_", F.expr(f"{t} RLIKE {lit(to_java(HEALTH, 'i'))} OR exists({detection}.quasi, s -> {_in('s.label', ('RARE_DISEASE_ICD', 'ETHNICITY', 'INSTITUTION', 'OCCUPATION'))})"))
+    df = held(df, {"all_": F.expr(f"concat({detection}.spans, {detection}.quasi)")})
+    df = held(df, {"health_": F.expr(f"{t} RLIKE {lit(to_java(HEALTH, 'i'))} OR exists({detection}.quasi, s -> {_in('s.label', ('RARE_DISEASE_ICD', 'ETHNICITY', 'INSTITUTION', 'OCCUPATION'))})")})
     rare, direct = f"exists({detection}.quasi, s -> s.label = 'RARE_DISEASE_ICD')", f"size({detection}.spans) > 0"
     blank = f" AND {t} RLIKE {lit(f'[^{BLANKS}]')}" if unscreened_is_unsafe else ""
     verdict = f"CASE WHEN size(all_) = 0 AND NOT health_{blank} THEN 'SAFE' WHEN {rare} OR (health_ AND {direct}) THEN 'DO_NOT_UPLOAD' ELSE 'NEEDS_DEIDENTIFICATION' END"
-    df = df.withColumn("verdict_", F.expr(verdict))
+    df = held(df, {"verdict_": F.expr(verdict)})
     group = "filter(all_, s -> s.label = x)"
     finding = (
         f"named_struct('label', x, 'count', size({group}), 'severity', {severity_sql('x')}, 'concern', {concern_sql('x', jurisdiction)}, 'value_hidden', true, "
         f"'values', slice(array_distinct(transform({group}, s -> s.text)), 1, {VALUES}), 'contexts', transform(slice({group}, 1, {CONTEXTS}), s -> {context_sql(t, 's')}))"
     )
     order = f"{rank_sql('r.severity')} - {rank_sql('l.severity')}"
-    df = df.withColumn("findings_", F.expr(f"array_sort(transform(array_distinct(transform(all_, s -> s.label)), x -> {finding}), (l, r) -> {order})"))
+    df = held(df, {"findings_": F.expr(f"array_sort(transform(array_distinct(transform(all_, s -> s.label)), x -> {finding}), (l, r) -> {order})")})
 
     def per(verdicts: dict, k: int) -> str:
         return "CASE verdict_ " + " ".join(f"WHEN {lit(v)} THEN {lit(x[k])}" for v, x in verdicts.items()) + " END"
@@ -102,7 +103,7 @@ def assess_compliance(df: DataFrame, jurisdiction: str = "GENERAL", text: str =
         f"'ai_upload', named_struct('safe', {safe}, 'label', IF({safe}, 'Appears safe for AI upload', 'Not safe for AI upload'), 'description', IF({safe}, {lit(AI_SAFE)}, {lit(AI_UNSAFE[jurisdiction])})), "
         f"'findings', findings_, 'health_data', health_, 'primary_action', IF({safe}, 'NONE', 'ANONYMISE'), 'actions', IF({safe}, array('NONE'), array('ANONYMISE', 'PSEUDONYMISE')), 'notes', {notes})"
     )
-    return df.withColumn("compliance", F.expr(out)).drop("all_", "health_", "verdict_", "findings_")
+    return held(df, {"compliance": F.expr(out)}).drop("all_", "health_", "verdict_", "findings_")
 
 
 def share_safe(df: DataFrame, column: str = "compliance") -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redactum.functions.columns import held
 from redactum.functions.rules import FAILED_NHS_PRIORITY, OTHER_PRIORITY, PARTICLES, PRIORITY, RULES, STARTER_HEADS, Rule
 from redactum.functions.sql import BLANKS, lit
 
@@ -135,10 +136,10 @@ def run_rules(df: DataFrame, text: str = "text", out: str = "rule_spans", catalo
     """
     rules = [r for r in RULES if labels is None or r.label in labels]
     t = f"coalesce(`{text}`, '')"
-    df = df.withColumns({"text_": F.expr(t), "clean_": F.expr(_clean(t))})
-    df = df.withColumns({"low_": F.lower("clean_"), "has_digit_": F.expr("clean_ RLIKE '[0-9]'")})
+    df = held(df, {"text_": F.expr(t), "clean_": F.expr(_clean(t))})
+    df = held(df, {"low_": F.lower("clean_"), "has_digit_": F.expr("clean_ RLIKE '[0-9]'")})
     every = ", ".join(rule_sql(r, "clean_", "low_", catalogue) for r in rules)
-    return df.withColumn(out, F.expr(f"flatten(array({every}))")).drop("text_", "clean_", "low_", "has_digit_")
+    return held(df, {out: F.expr(f"flatten(array({every}))")}).drop("text_", "clean_", "low_", "has_digit_")
 
 
 def merge_sql(spans: str) -> str:
@@ -182,8 +183,8 @@ def detect(df: DataFrame, text: str = "text", model_spans: str | None = None, fo
         prio = "CASE x " + " ".join(f"WHEN {lit(k)} THEN {v}" for k, v in PRIORITY.items()) + f" ELSE {OTHER_PRIORITY} END"
         whole = span_sql(start="0", end=f"length(`{text}`)", text=f"`{text}`", label="x", prio=prio)
         parts.append(f"IF(`{forced_label}` IS NOT NULL AND coalesce(`{text}`, '') RLIKE {lit(f'[^{BLANKS}]')}, transform(array(`{forced_label}`), x -> CAST({whole} AS {SPAN})), {NO_SPANS})")
-    df = df.withColumn("merged_", F.expr(merge_sql(f"concat({', '.join(parts)})")))
-    df = df.withColumn("detection", F.expr(f"named_struct('spans', filter(merged_, s -> s.category <> 'QUASI'), 'quasi', filter(merged_, s -> s.category = 'QUASI'), 'uncertain', {unsure}, 'counts', {counts_sql('merged_')})"))
+    df = held(df, {"merged_": F.expr(merge_sql(f"concat({', '.join(parts)})"))})
+    df = held(df, {"detection": F.expr(f"named_struct('spans', filter(merged_, s -> s.category <> 'QUASI'), 'quasi', filter(merged_, s -> s.category = 'QUASI'), 'uncertain', {unsure}, 'counts', {counts_sql('merged_')})")})
     return df.drop("raw_", "merged_")
 
 
@@ -201,5 +202,5 @@ def default_quasi(df: DataFrame, suppress_all: bool, mode: str = "", from_check:
     """
     every = suppress_all or (from_check and mode == "ANONYMISE")
     if every:
-        return df.withColumn("redact", F.expr("array_distinct(transform(detection.quasi, s -> s.label))"))
-    return df.withColumn("redact", F.expr("IF(exists(detection.quasi, s -> s.rare_tier = 'auto'), array('RARE_DISEASE_ICD'), CAST(array() AS array<string>))"))
+        return held(df, {"redact": F.expr("array_distinct(transform(detection.quasi, s -> s.label))")})
+    return held(df, {"redact": F.expr("IF(exists(detection.quasi, s -> s.rare_tier = 'auto'), array('RARE_DISEASE_ICD'), CAST(array() AS array<string>))")})

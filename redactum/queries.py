@@ -67,7 +67,9 @@ def note_sql(k: str, spark: bool) -> str:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(note_sql("o_orderkey", True)).alias("text"))
+    """Notes of all orders, dealt over the cores: a small file would be one task."""
+    keys = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).repartition(spark.sparkContext.defaultParallelism)
+    return keys.select("id", F.expr(note_sql("id", True)).alias("text"))
 
 
 NOTES = f"notes AS (SELECT o_orderkey AS id, {note_sql('o_orderkey', False)} AS text FROM orders)"
@@ -154,8 +156,8 @@ def email_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _offsets(rows: str, key: str, text: str, rule: Rule) -> str:
     p = _duck(_re2(rule))
     return (
-        f"SELECT {key}, start, start + length(value) AS stop, value FROM (SELECT {key}, unnest(list_transform(range(1, len(m) + 1), i -> "
-        f"{{'value': m[i], 'start': CAST(list_sum(list_transform(g[1:i], x -> length(x))) + coalesce(list_sum(list_transform(m[1:i-1], x -> length(x))), 0) AS BIGINT)}}), recursive := true) "
+        f"SELECT {key}, start, start + length(value) AS stop, value FROM (SELECT {key}, unnest(list_transform(range(1, len(m) + 1), lambda i: "
+        f"{{'value': m[i], 'start': CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT)}}), recursive := true) "
         f"FROM (SELECT {key}, regexp_extract_all({text}, {p}) AS m, regexp_split_to_array({text}, {p}) AS g FROM {rows}) WHERE len(m) > 0)"
     )
 
@@ -402,7 +404,7 @@ def oracle_sql() -> dict[str, str]:
         "rare_catalogue": f"WITH {_CATALOGUE} SELECT code, tier FROM catalogue",
         "rare_tiers": f"WITH {_CATALOGUE}, c AS (SELECT p_partkey, upper(['e', 'G', 'Q', 'Z'][CAST(p_partkey % 4 AS INT) + 1] || lpad(CAST(p_size AS VARCHAR), 2, '0') || '.' || CAST(p_partkey % 2 AS VARCHAR)) AS code FROM part) SELECT p_partkey, CASE WHEN a.tier IS NULL OR b.tier = 'auto' THEN b.tier ELSE a.tier END AS tier FROM c LEFT JOIN catalogue a ON a.code = c.code LEFT JOIN catalogue b ON b.code = substr(c.code, 1, 3)",
         "page_texts": _page_text_oracle(),
-        "formats": "SELECT c_custkey, CASE CAST(c_custkey % 9 AS INT) WHEN 0 THEN 'HL7_V2' WHEN 1 THEN 'DICOM' WHEN 2 THEN CASE WHEN c_custkey % 4 = 1 THEN 'FHIR_R4' ELSE 'TEXT' END WHEN 3 THEN 'PDF_TYPED' WHEN 4 THEN 'DOCX' WHEN 5 THEN 'CSV' WHEN 6 THEN 'TEXT' ELSE CASE c_custkey % 4 WHEN 0 THEN 'TEXT' WHEN 1 THEN 'FHIR_R4' ELSE 'TEXT' END END AS format FROM customer",
+        "formats": "SELECT c_custkey, CASE CAST(c_custkey % 9 AS INT) WHEN 0 THEN 'HL7_V2' WHEN 1 THEN 'DICOM' WHEN 2 THEN CASE WHEN c_custkey % 4 = 1 THEN 'FHIR_R4' ELSE 'TEXT' END WHEN 3 THEN 'PDF_TYPED' WHEN 4 THEN 'DOCX' WHEN 5 THEN 'CSV' WHEN 6 THEN 'TEXT' ELSE CASE c_custkey % 4 WHEN 0 THEN 'HL7_V2' WHEN 1 THEN 'FHIR_R4' ELSE 'TEXT' END END AS format FROM customer",
         "reviewed_spans": f"SELECT label, count(*) AS n FROM (SELECT 'EMAIL' AS label, doc_id, unnest(regexp_extract_all(text, {_duck(_re2(email))})) AS v FROM documents UNION ALL " + " UNION ALL ".join(f"SELECT 'IP', doc_id, unnest(regexp_extract_all(text, {_duck(_re2(r))})) FROM documents" for r in RULES if r.label == "IP") + ") WHERE NOT (label = 'EMAIL' AND doc_id % 2 = 0) GROUP BY label",
         "empirical_k_anonymity": "SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS k_records FROM customer",
         "own_tokens": "SELECT c_custkey, c_custkey % 8 < 4 AS own FROM customer",
