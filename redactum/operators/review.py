@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from redactum.functions.rules import MANUAL, OTHER_PRIORITY, PRIORITY, QUASI
 from redactum.functions.sql import js_trim, lit
-from redactum.operators.detect import SPAN, span_sql
+from redactum.operators.detect import SPAN, SPAN_FIELDS, span_sql
 
 
 def span_rows(df: DataFrame, key: str, spans: str) -> DataFrame:
@@ -58,8 +58,7 @@ def active_spans(direct: DataFrame, added: DataFrame, uncertain: DataFrame, dism
 
 def with_spans(df: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """``df`` with the reviewed rows as ``detection.spans``; their number per record is bounded by its text."""
-    fields = [c for c in spans.columns if c != key]
-    lists = spans.groupBy(key).agg(F.collect_list(F.struct(*fields)).alias("reviewed_"))
+    lists = spans.groupBy(key).agg(F.collect_list(F.struct(*SPAN_FIELDS)).alias("reviewed_"))
     out = df.join(lists, key, "left")
     empty = F.array().cast(f"array<{SPAN}>")
     return out.withColumn("detection", F.col("detection").withField("spans", F.coalesce(F.col("reviewed_").cast(f"array<{SPAN}>"), empty))).drop("reviewed_")

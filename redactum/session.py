@@ -27,7 +27,7 @@ def ship_package(spark: SparkSession) -> SparkSession:
 def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A local session as tests and the benchmark use it."""
     b = SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", str(shuffle))
-    b = b.config("spark.driver.memory", memory).config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+    b = b.config("spark.driver.memory", memory).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
