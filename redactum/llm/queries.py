@@ -82,5 +82,68 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_decontamination, op4_secrets, op5_quality, op6_language_id, op7_embedding_dedup, op8_minhash, op9_token_counts, op10_warc, pipeline)}
 
 
+_WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP1 = """
+WITH lines AS (
+  SELECT doc_id, i - 1 AS no, l[i] AS line, doc_id * 1000000 + i AS occ,
+         list_filter(regexp_split_to_array(l[i], '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+known AS (SELECT w, min(occ) AS f FROM lines WHERE len(w) > 0 GROUP BY w),
+cut AS (SELECT w, f, i, list_concat(w[1:i-1], w[i+1:]) AS v FROM (SELECT w, f, unnest(range(1, len(w) + 1)) AS i FROM known WHERE len(w) >= 10)),
+pairs AS (
+  SELECT a.w, min(b.f) AS m FROM cut a JOIN (SELECT i, v, min(f) AS f FROM cut GROUP BY i, v) b ON a.i = b.i AND a.v = b.v GROUP BY a.w
+  UNION ALL SELECT a.w, min(k.f) FROM cut a JOIN known k ON a.v = k.w AND len(k.w) >= 10 GROUP BY a.w
+  UNION ALL SELECT k.w, min(a.f) FROM cut a JOIN known k ON a.v = k.w AND len(k.w) >= 10 GROUP BY k.w),
+near AS (SELECT p.w FROM pairs p JOIN known k ON k.w = p.w GROUP BY p.w, k.f HAVING min(p.m) < k.f),
+judged AS (
+  SELECT l.*, len(l.w) > 0 AS full_, n.w IS NOT NULL AS near, len(l.w) > 0 AND (n.w IS NOT NULL OR l.occ <> k.f) AS gone
+  FROM lines l LEFT JOIN known k ON k.w = l.w LEFT JOIN near n ON n.w = l.w)
+SELECT d.doc_id, count(*) FILTER (full_) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND near) AS n_near,
+       CASE WHEN any_value(d.text) IS NULL THEN NULL ELSE sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '')) END AS text_sha256
+FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+_OP2 = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+t AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM d GROUP BY source),
+v AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM t),
+f AS (SELECT *, sum(s) OVER () * CAST(1.5 AS DOUBLE) - coalesce(sum(2 * s) OVER o, 0) AS ls, CAST(sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS BIGINT) AS lw
+      FROM v WINDOW o AS (ORDER BY CAST(s AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, CAST(ls AS DOUBLE) * w / lw >= 2 * s AS capped FROM f),
+h AS (SELECT CAST(arg_max(ls, lw) AS DOUBLE) AS ls, max(lw) AS lw FROM g WHERE NOT capped),
+r AS (SELECT source, s, CASE WHEN s = 0 THEN 0 WHEN capped OR h.lw IS NULL THEN CAST(2 * s AS DOUBLE) ELSE h.ls * w / h.lw END AS target FROM g, h),
+c AS (SELECT d.doc_id, d.size, r.s, r.target, CASE WHEN r.s > 0 THEN r.target / r.s ELSE 0 END AS rate,
+             CAST('0x' || substr(md5('SEED:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, s AS source_size, target, size * CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM c
+""".replace("SEED", mixing.SEED)
+
+_OP3 = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(t="coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format(t="coalesce(text, '')")} AS w FROM benchmark),
+p AS (SELECT item_id, w[i:i+least(len(w), 13)-1] AS x FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+q AS (SELECT DISTINCT len(x) AS n FROM p),
+e AS (SELECT doc_id, i, n, w[i:i+n-1] AS x FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, q WHERE len(w) >= n)),
+m AS (SELECT doc_id, i, n, item_id FROM e JOIN p USING (x)),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM m) GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+_OP10 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform(range(3, -1, -1), lambda k:
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(CAST('0x' || substr(h, CAST(g * 5 + 1 AS INT), 5) AS BIGINT) // CAST(pow(32, k) AS BIGINT)) % 32 + 1]), '')), '') AS payload_digest,
+      min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM q
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those of op4 to op9 and of the pipeline have none: decoding, models, searches for
+    neighbours and merges are held against brute force in the tests."""
+    return {"op1_line_dedup": _OP1, "op2_mixing": _OP2, "op3_decontamination": _OP3, "op10_warc": _OP10}

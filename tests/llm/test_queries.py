@@ -1,0 +1,28 @@
+import duckdb
+import pytest
+
+from redactum.llm import queries as q
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = {
+    "op1_line_dedup": {"doc_id", "n_lines", "n_removed", "n_near", "text_sha256"}, "op2_mixing": {"doc_id", "size", "source_size", "target", "taken"},
+    "op3_decontamination": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"}, "op4_secrets": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
+    "op5_quality": {"doc_id", "held_out", "score", "predicted"}, "op6_language_id": {"doc_id", "held_out", "lang_pred", "score", "rejected"}, "op7_embedding_dedup": {"vec_id", "n_links", "component_id", "kept"},
+    "op8_minhash": {"doc_id", "n_shingles", "component_id", "kept"}, "op9_token_counts": {"doc_id", "n_bytes", "n_tokens", "over_limit"}, "op10_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
+}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_query(spark, name):
+    df = q.queries()[name](spark, SF)
+    assert set(df.columns) == COLUMNS[name]
+    got = df.collect()
+    table = {"op7_embedding_dedup": "embeddings", "op10_warc": "pages"}.get(name, "documents")
+    assert len(got) == spark.read.parquet(f"{SF}/{table}.parquet").count()
+    if name in q.oracle_sql():
+        con = duckdb.connect()
+        for t in ("documents", "pages", "benchmark"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        out = con.execute(q.oracle_sql()[name])
+        names = [d[0] for d in out.description]
+        assert sorted(tuple(str(r[n]) for n in sorted(names)) for r in got) == sorted(tuple(str(r[names.index(n)]) for n in sorted(names)) for r in out.fetchall())
