@@ -107,6 +107,8 @@ def test_language_awkward(awkward, empty):
     model = lid.train(awkward)
     got = {r.doc_id: r for r in lid.identify(awkward, model).collect()}
     assert got[3].lang_pred == got[4].lang_pred == got[8].lang_pred == "und" and got[7].lang_pred == "fr"
+    signs = awkward.sparkSession.createDataFrame([(1, "½ ² Ⅷ"), (2, "m²"), (3, "٣")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred == "und" for r in lid.identify(signs, model).collect()} == {1: True, 2: False, 3: True}
     assert lid.train(empty) is None and {r.lang_pred for r in lid.identify(awkward, None).collect()} == {"und"}
     assert lid.identify(empty, model).count() == 0
     assert lid.identify(awkward, model, reject=True).count() == awkward.count()
