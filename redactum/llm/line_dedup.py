@@ -30,11 +30,6 @@ _MASK = (1 << 64) - 1
 _INVERSE = pow(_B, -1, 1 << 64)
 
 
-def _two(data: bytes) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(data)
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-
-
 def _one(data: bytes, seed: int) -> int:
     h = xxhash.xxh3_64_intdigest(data, seed)
     return h - (1 << 64) if h >> 63 else h
@@ -77,22 +72,25 @@ def _identified(docs: DataFrame, key: str, text: str) -> list:
 
 
 def _lines(batches, near_words: int):
+    """(id, th, no, h1, h2, head, tail) of every line that has words."""
     for b in in_small_batches(batches, 500):
-        cols: tuple[list, ...] = ([], [], [], [], [], [], [])
-        for i, t in enumerate(b.column(2)):
-            who, th = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+        counts, places, wholes, heads, tails = [], [], [], [], []
+        for t in b.column(2):
+            before = len(places)
             for no, line in enumerate((t.as_py() or "").encode().split(b"\n")):
                 words = line.split()
                 if not words:
                     continue
-                h1, h2 = _two(b" ".join(words))
-                head = tail = None
-                if len(words) >= near_words:
-                    head, tail = _one(b" ".join(words[:ENDS]), 1), _one(b" ".join(words[-ENDS:]), 2)
-                for c, v in zip(cols, (who, th, no, h1, h2, head, tail), strict=True):
-                    c.append(v)
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["id", "th", "no", "h1", "h2", "head", "tail"])
+                places.append(no)
+                wholes.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                near = len(words) >= near_words
+                heads.append(_one(b" ".join(words[:ENDS]), 1) if near else None)
+                tails.append(_one(b" ".join(words[-ENDS:]), 2) if near else None)
+            counts.append(len(places) - before)
+        owner = pa.array(np.repeat(np.arange(len(counts)), counts))
+        two = np.frombuffer(b"".join(wholes), np.int64).reshape(-1, 2)
+        columns = [b.column(0).take(owner), b.column(1).take(owner), pa.array(places, pa.int32()), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(heads, pa.int64()), pa.array(tails, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "no", "h1", "h2", "head", "tail"])
 
 
 def _variants(batches):
