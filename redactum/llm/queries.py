@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from redactum.llm import bpe_count, decontaminate, embedding_dedup, line_dedup, minhash, mixing, quality, secrets_scan, warc
 from redactum.llm import language_id as lid
-from redactum.session import ship_package
+from redactum.session import ship_package, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    df = ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
