@@ -22,7 +22,7 @@ from redactum.operators.risk import assess_risk, empirical_k
 from redactum.operators.validate import own_token_sql
 from redactum.plans.catalogue import build_catalogue, tier_join
 from redactum.plans.pipeline import deidentify_leaves, deidentify_texts, screen, survivors
-from redactum.session import ship_package
+from redactum.session import ship_package, spread
 from redactum.sources.csv import csv_leaves
 from redactum.sources.fhir import fhir_leaves
 from redactum.sources.formats import detect_format
@@ -35,7 +35,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    df = ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages", "conversations") else df
 
 
 # Derived notes. ``{k}`` is a BIGINT key; both engines read this SQL.

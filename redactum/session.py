@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
@@ -24,6 +24,16 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the cores if it has fewer partitions than there are cores, up to 64.
+
+    A small file is one task, however much work its rows are. Inputs of 64 partitions
+    or of one for each core are left as they are, without a shuffle.
+    """
+    cores = min(64, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A local session as tests and the benchmark use it."""
     b = SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", str(shuffle))
