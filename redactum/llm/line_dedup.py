@@ -145,7 +145,8 @@ def _near_lines(space: Workspace, texts: DataFrame, distinct: DataFrame) -> Data
 
     cut_lines = found.mapInArrow(cut, "id bigint, th bigint, no int, h1 bigint, h2 bigint, line string")
     # Numbers in the order of the lines' first places stand for those places from here on.
-    flagged = space.write(cut_lines.orderBy("id", "th", "no").select(F.monotonically_increasing_id().alias("lid"), "h1", "h2", "line"), "flagged")
+    # Rows equal in key and text give a line once, or it would meet itself as its own near line.
+    flagged = space.write(cut_lines.dropDuplicates(["id", "th", "no"]).orderBy("id", "th", "no").select(F.monotonically_increasing_id().alias("lid"), "h1", "h2", "line"), "flagged")
     variants = flagged.select("lid", "line").mapInArrow(_variants, "k bigint, i int, lid bigint")
     groups = variants.groupBy("k", "i").agg(F.min("lid").alias("m"), F.max("lid").alias("x")).where("m < x").select("k", F.col("i").alias("at"), "m")
     wholes = flagged.select("lid", "line").mapInArrow(_wholes, "k bigint, m bigint").select("k", F.lit(-1).alias("at"), "m")
@@ -155,7 +156,8 @@ def _near_lines(space: Workspace, texts: DataFrame, distinct: DataFrame) -> Data
     links = space.write(links, "links")
     small = checked_broadcast(links)
     later = flagged.join(small, flagged["lid"] == F.col("later")).select("h1", "h2", "earlier", F.col("line").alias("a"))
-    pairs = later.join(flagged.select("lid", F.col("line").alias("b")), F.col("earlier") == F.col("lid")).select("h1", "h2", "a", "b")
+    first = flagged.select("lid", F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("b"))
+    pairs = later.join(first, F.col("earlier") == F.col("lid")).where("h1 <> e1 OR h2 <> e2").select("h1", "h2", "a", "b")
     return space.write(pairs.mapInArrow(_verified, "h1 bigint, h2 bigint").distinct(), "near")
 
 

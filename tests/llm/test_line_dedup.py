@@ -67,3 +67,11 @@ def test_awkward(awkward, empty):
 def test_digest_is_of_the_text(spark):
     df = m.dedup_lines(spark.createDataFrame([(1, "a\na\nb")], "doc_id long, text string")).first()
     assert hashlib.sha256(df.text.encode()).hexdigest() == hashlib.sha256(b"a\nb").hexdigest()
+
+
+def test_repeated_rows_keep_their_first_lines(spark):
+    a = "one two three four five six seven eight nine ten"
+    b = "one two three four five and now for something else entirely"
+    rows = [(1, a), (1, a), (2, b), (None, f"{b} x y"), (None, f"{b} x y"), (3, a)]
+    got = sorted((str(x.doc_id), x.text, x.n_removed, x.n_near) for x in m.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("1", a, 0, 0), ("1", a, 0, 0), ("2", b, 0, 0), ("None", f"{b} x y", 0, 0), ("None", f"{b} x y", 0, 0), ("3", "", 1, 0)])
