@@ -33,12 +33,17 @@ AT_ONCE = 3
 BLOCK = 1024
 
 
+def prefix_bits(rows: int, window: int = WINDOW) -> int:
+    """Leading bits that vectors share in a run; no more than ``passes_for`` reckons with."""
+    return int(max(1.0, math.log2(max(2.0, rows / window)) + 1))
+
+
 def passes_for(rows: int, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS) -> int:
     """Passes after which a pair at the threshold is missed with probability ``miss``.
 
-    Two vectors surely meet in a window if they share the leading bits that leave no
-    more vectors than a window: log2(rows / window) bits, each equal with probability
-    1 - angle / pi.
+    Two vectors surely meet if they share the leading bits that leave no more evenly
+    spread vectors than a window: log2(rows / window) + 1 bits, each equal with
+    probability 1 - angle / pi. Where more share them, blocks compare them all.
     """
     bits = max(1.0, math.log2(max(2.0, rows / window)) + 1)
     p = (1 - math.acos(threshold) / math.pi) ** bits
@@ -104,6 +109,38 @@ def _windows(batches, window: int, threshold: float):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
 
 
+def _forests(batches, threshold: float):
+    """Edges of spanning forests of the verified pairs of two blocks of a run (sides 0 and 1), or of one (side 2)."""
+    held: list = []
+    key = None
+
+    def edges():
+        x = np.concatenate([_matrix(s.column(s.schema.get_field_index("v")), key[2]) for s in held])
+        side, rep = (np.concatenate([s.column(s.schema.get_field_index(c)).to_numpy() for s in held]) for c in ("side", "rep"))
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        comp = np.arange(len(rep))
+        a, b = [], []
+        for i in range(0, len(left), 512):
+            close = (x[left[i : i + 512]] @ x[right].T) >= threshold
+            for at, row in zip(left[i : i + 512], close, strict=True):
+                js = right[row]
+                while len(js := js[comp[js] != comp[at]]):
+                    a.append(int(rep[at]))
+                    b.append(int(rep[js[0]]))
+                    comp[comp == comp[js[0]]] = comp[at]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for k, s in _segments(batch, ["pass", "label", "dim", "run", "i", "j"]):
+            if k != key:
+                if held:
+                    yield edges()
+                held, key = [], k
+            held.append(s)
+    if held:
+        yield edges()
+
+
 def _counts(batches, threshold: float):
     """Per row the weight of the linked rows of its group; groups span batches."""
     held: list = []
@@ -135,6 +172,14 @@ def _counts(batches, threshold: float):
         yield counted()
 
 
+def _in_blocks(rows: DataFrame, group: list[str], *more: str) -> DataFrame:
+    """Rows of a group with ``blocks`` as pairs of blocks (i, j), each with each: side 0 is of i, 1 of j, 2 of both."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
+    return rows.select(*group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "rep", *more, "v")
+
+
 def embedding_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """(key, n_links, component_id, kept) for each row.
 
@@ -165,24 +210,29 @@ def embedding_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str =
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(keys), pa.list_(pa.int64()))], names=["label", "rep", "v", "dim", "keys"])
 
     keys = space.write(classes.select("label", "rep", "v", "dim").mapInArrow(keyed, "label bigint, rep bigint, v array<double>, dim int, keys array<bigint>"), "keys")
+    shift = BITS - prefix_bits(most, window)
+    run = ["pass", "label", "dim", "run"]
     edges = None
     for first in range(0, n_passes, AT_ONCE):
         some = F.array(*[F.struct(F.lit(p).alias("pass"), F.get("keys", F.lit(p)).alias("k")) for p in range(first, min(first + AT_ONCE, n_passes))])
-        laid = keys.select("label", "dim", "rep", "v", F.inline(some)).select("pass", "label", "dim", "k", "rep", "v")
-        order = ["pass", "label", "dim", "k", "rep"]
-        pairs = laid.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _windows(b, window, threshold), "a bigint, b bigint")
-        found = space.write(pairs.distinct(), "pairs")
+        laid = keys.select("label", "dim", "rep", "v", F.inline(some)).select("pass", "label", "dim", "k", "rep", "v").withColumn("run", F.shiftright("k", shift))
+        long = laid.groupBy(*run).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > window)
+        long = space.write(long.select(*run, F.ceil(F.col("rows") / block).cast("int").alias("blocks")), "runs")
+        small = checked_broadcast(long)
+        # A run stays in one partition, since its rows are equal in what the ranges are made of.
+        short = laid.join(small.select(*run), run, "left_anti").repartitionByRange(*run).sortWithinPartitions(*run, "k", "rep")
+        pairs = short.select("pass", "label", "dim", "k", "rep", "v").mapInArrow(lambda b: _windows(b, window, threshold), "a bigint, b bigint")
+        crowds = _in_blocks(laid.join(small, run), run).repartition(*run, "i", "j").sortWithinPartitions(*run, "i", "j")
+        met = crowds.mapInArrow(lambda b: _forests(b, threshold), "a bigint, b bigint")
+        found = space.write(pairs.union(met).distinct(), "pairs")
         edges = found if edges is None else edges.union(found)
     components = space.write(connected_components(spark, edges, space).withColumnRenamed("id", "rep"), "components")
 
     # Exact counts of direct links: within a component every block meets every other.
     inside = classes.select("rep", "n", "dim", "v").join(checked_broadcast(components), "rep")
     sizes = space.write(components.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "sizes")
-    inside = inside.join(checked_broadcast(sizes), "component").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
     groups = ["component", "i", "j", "dim"]
-    inside = inside.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "dim", side.alias("side"), "rep", "n", "v")
+    inside = _in_blocks(inside.join(checked_broadcast(sizes), "component"), ["component", "dim"], "n")
     counted = inside.repartition("component", "i", "j").sortWithinPartitions(*groups).mapInArrow(lambda b: _counts(b, threshold), "rep bigint, linked bigint")
     linked = space.write(counted.groupBy("rep").agg(F.sum("linked").alias("linked")), "linked")
 
