@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redactum.functions.rare_icd10 import RARE_CODES
 from redactum.functions import crypto, dates
 from redactum.functions.rules import RULES, Rule
 from redactum.functions.sql import lit
@@ -337,7 +338,7 @@ def scanned_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans by language and label over all documents, all rules merged."""
-    return label_counts(detect(_table(spark, sf_dir, "documents").select("lang", "text")), ["lang"])
+    return label_counts(detect(_table(spark, sf_dir, "documents").select("lang", "text"), catalogue=RARE_CODES), ["lang"])
 
 
 def deidentified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
