@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,56 +53,105 @@ def test_language_held_out(spark):
     assert (held.lang_pred == held.lang).mean() > 0.97
 
 
-def test_kneser_ney_sums_to_one():
-    counts = {}
-    for who, words in {"a": ["abc", "abd", "bca"], "b": ["ccc", "cab"]}.items():
-        for w in words:
-            for g in lid.grams_of(w):
-                counts[who, g] = counts.get((who, g), 0) + 1
-    model = lid.Model.fit([(k, g, n) for (k, g), n in counts.items()])
-    symbols = ["a", "b", "c", "d", lid.END]
-    for context in ("a", "ab", "zz"):
-        # P(context + s + rest) summed over s, against what the context alone gives
-        total = np.zeros(2)
-        base = model.score_words([context])[0].astype(float) - _last(model, context)
-        for s in [*symbols, "\x7f"]:
-            whole = _until(model, context + s)
-            total += np.exp(whole - base)
-        assert total == pytest.approx([1.0, 1.0], abs=1e-3)
+def grams_table(spark, texts):
+    return spark.createDataFrame([(k, w) for k, words in texts.items() for w in words], "lang string, text string")
 
 
-def _last(model, word):
-    return _until(model, word + lid.END) - _until(model, word)
+def brute_kneser_ney(texts, order=lid.ORDER):
+    """P(word) by language from the definition, one place at a time."""
+    raw = {k: Counter(g for w in words for g in lid.grams_of(w, order)) for k, words in texts.items()}
+    symbols = {g[-1] for c in raw.values() for g in c}
+    floor = 1 / (len(symbols) + 1)
 
+    def used(k, n):
+        if n == order:
+            return {g: c for g, c in raw[k].items() if len(g) == order}
+        above = Counter(g[1:] for g in used(k, n + 1))
+        return {**above, **{g: c for g, c in raw[k].items() if len(g) == n and g[0] == lid.START}}
 
-def _until(model, text):
-    """Log probability of a word's beginning, gram by gram, from the tables."""
-    s = lid.START + text
+    levels = {k: [None, *(used(k, n) for n in range(1, order + 1))] for k in texts}
+
+    def p(k, g):
+        if not g:
+            return floor
+        use = levels[k][len(g)]
+        n1, n2 = (sum(c == x for c in use.values()) for x in (1, 2))
+        d = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
+        same = {h: c for h, c in use.items() if h[:-1] == g[:-1]}
+        if not same:
+            return p(k, g[1:])
+        total = sum(same.values())
+        return max(use.get(g, 0) - d, 0) / total + d * len(same) / total * p(k, g[1:])
+
+    return lambda k, word: sum(math.log(p(k, g)) for g in lid.grams_of(word, order))
+
+
+TEXTS = {"a": ["abc", "abd", "bca", "hello", "help", "yellow", "abc"], "b": ["ccc", "cab", "é", "été"], "c": ["x"]}
+WORDS = ["abc", "hello", "zzz", "h", "yelp", "é", "cabbed", "x", "étéx"]
+
+
+def trained(spark, texts, **how):
+    return lid.train(grams_table(spark, texts), **how)
+
+
+def test_kneser_ney_is_the_brute_force_one(spark):
+    want, model = brute_kneser_ney(TEXTS), trained(spark, TEXTS)
+    assert model.langs == ["a", "b", "c"]
+    assert np.allclose(model.score_words(WORDS), [[want(k, w) for k in model.langs] for w in WORDS], atol=1e-4)
+
+
+def test_kneser_ney_sums_to_one(spark):
+    want = brute_kneser_ney(TEXTS)
+    model = trained(spark, TEXTS)
+    assert np.allclose(model.score_words(["ab"]), [[want(k, "ab") for k in model.langs]], atol=1e-4)
+    symbols = {g[-1] for words in TEXTS.values() for w in words for g in lid.grams_of(w)} - {lid.END}
+    # Words of one symbol and longer ones, with one symbol that no language knows: first places sum to one.
+    for k in range(len(model.langs)):
+        first = [math.exp(_place(model, s)[k]) for s in [*symbols, "\x7f"]] + [math.exp(_place(model, lid.END)[k])]
+        assert sum(first) == pytest.approx(1, abs=1e-4)
+
+
+def _place(model, symbol):
+    """Log probability of a symbol after the start mark."""
+    g, b = lid.START + symbol, model.block((0, 0))
     total = np.zeros(len(model.langs))
-    for i in range(1, len(s)):
-        left = s[max(0, i - model.order + 1) : i + 1]
-        while left:
-            at, hit = model._find(model.grams[len(left) - 1], lid._hash_one([left]))
-            if hit[0]:
-                total += model.grams[len(left) - 1][1][at[0]]
-                break
-            if len(left) > 1:
-                at, hit = model._find(model.contexts[len(left) - 1], lid._hash_one([left[:-1]]))
-                total += model.contexts[len(left) - 1][1][at[0]] if hit[0] else 0
-            left = left[1:]
-        else:
-            total += model.unknown
-    return total
-
-
-def test_batch_scores_equal_single_steps():
-    counts = {}
-    for w in ["hello", "help", "yellow"]:
-        for g in lid.grams_of(w):
-            counts["x", g] = counts.get(("x", g), 0) + 1
-    model = lid.Model.fit([(k, g, n) for (k, g), n in counts.items()])
-    words = ["hello", "zzz", "h", "yelp", "é"]
-    assert np.allclose(model.score_words(words)[:, 0], [_until(model, w + lid.END)[0] for w in words], atol=1e-4)
+    for n in (2, 1):
+        at, hit = b._find(b.grams[n - 1], lid._hash_one([g[-n:]]))
+        if hit[0]:
+            return total + b.grams[n - 1][1][at[0]]
+        if n > 1:
+            at, hit = b._find(b.contexts[n - 1], lid._hash_one([g[:-1]]))
+            total += b.contexts[n - 1][1][at[0]] if hit[0] else 0
+    return total + model.unknown
+
+
+def _bytes(model):
+    tables = [t for place in model.places() for t in (*model.block(place).grams, *model.block(place).contexts)]
+    return sum(k.nbytes + v.nbytes for k, v in tables) // len(model.places())
+
+
+def test_blocks_add_up(spark, awkward):
+    one = lid.train(awkward)
+    more = lid.train(awkward, block_bytes=_bytes(one) // 2)
+    assert len(one.places()) == 1 and 1 < len(more.places()) < 6
+    assert np.allclose(one.score_words(WORDS), more.score_words(WORDS), atol=1e-4)
+    get = lambda m: sorted((str(r.doc_id), r.lang_pred, round(r.score, 6), r.rejected) for r in lid.identify(awkward, m).collect())
+    assert get(one) == get(more)
+    many = {f"l{i:02d}": [w + chr(97 + i) for w in WORDS] for i in range(9)}
+    want, model = brute_kneser_ney(many), trained(spark, many)
+    assert len(model.places()) == 2 and np.allclose(model.score_words(WORDS), [[want(k, w) for k in model.langs] for w in WORDS], atol=1e-4)
+
+
+def test_a_small_language_stays(spark):
+    docs = [("en", f"the {w} and the {w[::-1]} went over the hills") for w in map("w{}ay".format, range(700))]
+    few = [("xx", "zqé qzé zzéq"), ("xx", "qéz zéq"), ("xx", "ézzq qqéz")]
+    rows = spark.createDataFrame(docs + few, "lang string, text string")
+    for block_bytes in (lid.BLOCK_BYTES, 40_000):
+        model = lid.train(rows, block_bytes=block_bytes)
+        assert model.langs == ["en", "xx"]
+        assert {r.lang_pred for r in lid.identify(spark.createDataFrame(few, "lang string, text string"), model).collect()} == {"xx"}
+    # English is calibrated on texts that it did not learn from; the small language takes that limit.
+    assert np.isfinite(model.limits).all() and model.limits[0] == model.limits[1]
 
 
 def test_language_awkward(awkward, empty):
