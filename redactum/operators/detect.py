@@ -1,8 +1,9 @@
 """DETECT: rule matches with offsets, overlap merging, buckets and counts.
 
-A rule's matches get control characters around them; splitting there and folding the
-lengths gives offsets, all inside the JVM. Rules run on their own, their overlaps are
-resolved afterwards by a left fold over the sorted spans.
+A rule's matches get control characters around them; splitting there and running sums
+of the lengths give offsets, all inside the JVM. Rules run on their own, their overlaps
+are resolved afterwards by a left fold over each run of sorted spans that overlap. Both
+take a time in proportion to a text's length, but for a logarithm.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from redactum.functions.columns import held
 from redactum.functions.rules import FAILED_NHS_PRIORITY, OTHER_PRIORITY, PARTICLES, PRIORITY, RULES, STARTER_HEADS, Rule
-from redactum.functions.sql import BLANKS, lit
+from redactum.functions.sql import BLANKS, cut, let, lit, pieces, running
 
 #: Offsets are code points, ends exclusive. ``prio`` decides overlaps.
 SPAN = "struct<start:int,end:int,text:string,label:string,category:string,source:string,confidence:double,cap_start:int,cap_end:int,rare_tier:string,prio:int>"
@@ -39,28 +40,11 @@ def _gate(rule: Rule, low: str) -> str:
 def matches_sql(text: str, pattern: str, groups: int = 0) -> str:
     """array<struct<s, m, c>>: place (from 0), match and first group of every match."""
     marked = f"regexp_replace({text}, {lit(pattern)}, {lit('\x01$0\x03' + ''.join(f'${k}' for k in range(1, groups + 1)) + '\x02')})"
-    step = (
-        "IF(a.odd, named_struct('pos', a.pos + length(substring_index(x, '\x03', 1)), 'odd', false, 'out', "
-        "concat(a.out, array(named_struct('s', a.pos, 'm', substring_index(x, '\x03', 1), 'c', substring(x, length(substring_index(x, '\x03', 1)) + 2))))), "
-        "named_struct('pos', a.pos + length(x), 'odd', true, 'out', a.out))"
-    )
-    start = f"named_struct('pos', 0, 'odd', false, 'out', CAST(array() AS array<{_HIT}>))"
-    return f"aggregate(split({marked}, '[\x01\x02]', -1), {start}, (a, x) -> {step}, a -> a.out)"
-
-
-def match_offsets(text: Column, pattern: str, groups: int = 0) -> Column:
-    """The same as a Column, for patterns in Java's dialect."""
-    marked = F.regexp_replace(text, F.lit(pattern), F.lit("\x01$0\x03" + "".join(f"${k}" for k in range(1, groups + 1)) + "\x02"))
-    zero = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("odd"), F.array().cast(f"array<{_HIT}>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        m = F.substring_index(x, "\x03", 1)
-        hit = F.struct(a["pos"].alias("s"), m.alias("m"), F.substring(x, F.length(m) + 2, F.length(x)).alias("c"))
-        return F.when(a["odd"], F.struct((a["pos"] + F.length(m)).alias("pos"), F.lit(False).alias("odd"), F.concat(a["out"], F.array(hit)).alias("out"))).otherwise(
-            F.struct((a["pos"] + F.length(x)).alias("pos"), F.lit(True).alias("odd"), a["out"].alias("out"))
-        )
-
-    return F.aggregate(F.split(marked, "[\x01\x02]", -1), zero, step, lambda a: a["out"])
+    # Every second part is a match; a part's place is the length of those before it.
+    lengths = "transform(parts_, (x, i) -> IF(i % 2 = 1, length(substring_index(x, '\x03', 1)), length(x)))"
+    hit = "named_struct('s', ends_[i - 1], 'm', substring_index(parts_[i], '\x03', 1), 'c', substring(parts_[i], length(substring_index(parts_[i], '\x03', 1)) + 2))"
+    found = let(let(lengths, "lengths_", running("lengths_", "p + q")), "ends_", f"transform(sequence(1, size(parts_) - 2, 2), i -> {hit})")
+    return let(f"split({marked}, '[\x01\x02]', -1)", "parts_", f"IF(size(parts_) < 3, CAST(array() AS array<{_HIT}>), {found})")
 
 
 def valid_nhs_sql(x: str) -> str:
@@ -91,10 +75,10 @@ def tier_sql(code: str, catalogue: Mapping[str, str] | None) -> str:
     c = f"upper(regexp_replace({code}, {lit(f'[{BLANKS}]+')}, ''))"
     if catalogue is None:
         return f"IF(substring({c}, 1, 3) IN ({', '.join(lit(h) for h in STARTER_HEADS)}), 'flag', CAST(NULL AS STRING))"
-    auto = ", ".join(lit(k) for k, v in sorted(catalogue.items()) if v == "auto") or "''"
-    flag = ", ".join(lit(k) for k, v in sorted(catalogue.items()) if v == "flag") or "''"
+    # One text of all codes of a tier: a code is looked up between commas, without a plan node for each.
+    of = lambda tier, x: f"contains({lit(',' + ','.join(sorted(k for k, v in catalogue.items() if v == tier)) + ',')}, concat(',', {x}, ','))"
     h = f"substring({c}, 1, 3)"
-    return f"CASE WHEN {c} IN ({auto}) OR {h} IN ({auto}) THEN 'auto' WHEN {c} IN ({flag}) OR {h} IN ({flag}) THEN 'flag' END"
+    return f"CASE WHEN {of('auto', c)} OR {of('auto', h)} THEN 'auto' WHEN {of('flag', c)} OR {of('flag', h)} THEN 'flag' END"
 
 
 def span_sql(**v: str) -> str:
@@ -103,7 +87,7 @@ def span_sql(**v: str) -> str:
 
 
 def rule_sql(rule: Rule, text: str, low: str, catalogue: Mapping[str, str] | None) -> str:
-    """The spans of one rule over the columns ``text``, ``low`` and ``has_digit_``."""
+    """The spans of one rule over the columns ``text``, ``low``, ``has_digit_``, ``same_`` and ``pieces_``."""
     hits = matches_sql(text, rule.java, rule.groups)
     end, cap = "h.s + length(h.m)", "CAST(NULL AS INT)"
     label, category, prio, tier = lit(rule.label), lit(rule.category), str(PRIORITY[rule.label]), "CAST(NULL AS STRING)"
@@ -124,7 +108,7 @@ def rule_sql(rule: Rule, text: str, low: str, catalogue: Mapping[str, str] | Non
         tier = "h.tier"
     elif rule.label == "AGE_OVER_89":
         hits = f"filter({hits}, h -> CAST(h.c AS INT) BETWEEN 90 AND 130)"
-    shape = span_sql(start="h.s", end=end, text=f"substring(text_, h.s + 1, ({end}) - h.s)", label=label, category=category, cap_start=cap, cap_end=cap_end, rare_tier=tier, prio=prio)
+    shape = span_sql(start="h.s", end=end, text=f"IF(same_, substring(h.m, 1, ({end}) - h.s), {cut('pieces_', 'h.s', end)})", label=label, category=category, cap_start=cap, cap_end=cap_end, rare_tier=tier, prio=prio)
     return f"IF({_gate(rule, low)}, transform({hits}, h -> CAST({shape} AS {SPAN})), {NO_SPANS})"
 
 
@@ -137,9 +121,10 @@ def run_rules(df: DataFrame, text: str = "text", out: str = "rule_spans", catalo
     rules = [r for r in RULES if labels is None or r.label in labels]
     t = f"coalesce(`{text}`, '')"
     df = held(df, {"text_": F.expr(t), "clean_": F.expr(_clean(t))})
-    df = held(df, {"low_": F.lower("clean_"), "has_digit_": F.expr("clean_ RLIKE '[0-9]'")})
+    df = held(df, {"low_": F.lower("clean_"), "has_digit_": F.expr("clean_ RLIKE '[0-9]'"), "same_": F.expr("clean_ = text_")})
+    df = held(df, {"pieces_": F.expr(f"IF(same_, CAST(array() AS array<string>), {pieces('text_')})")})
     every = ", ".join(rule_sql(r, "clean_", "low_", catalogue) for r in rules)
-    return held(df, {out: F.expr(f"flatten(array({every}))")}).drop("text_", "clean_", "low_", "has_digit_")
+    return held(df, {out: F.expr(f"flatten(array({every}))")}).drop("text_", "clean_", "low_", "has_digit_", "same_", "pieces_")
 
 
 def merge_sql(spans: str) -> str:
@@ -150,13 +135,16 @@ def merge_sql(spans: str) -> str:
     touch stay apart.
     """
     order = "CASE WHEN l.start < r.start THEN -1 WHEN l.start > r.start THEN 1 WHEN l.end > r.end THEN -1 WHEN l.end < r.end THEN 1 ELSE 0 END"
-    first = "CASE WHEN a.last.prio <> s.prio THEN a.last.prio > s.prio WHEN a.last.end - a.last.start <> s.end - s.start THEN a.last.end - a.last.start > s.end - s.start ELSE a.last.source = 'ner' END"
-    fields = {f: f"IF(w, a.last.{f}, s.{f})" for f in SPAN_FIELDS} | {"start": "least(a.last.start, s.start)", "end": "greatest(a.last.end, s.end)", "cap_start": "CAST(NULL AS INT)", "cap_end": "CAST(NULL AS INT)"}
+    first = "CASE WHEN a.prio <> s.prio THEN a.prio > s.prio WHEN a.end - a.start <> s.end - s.start THEN a.end - a.start > s.end - s.start ELSE a.source = 'ner' END"
+    fields = {f: f"IF(w, a.{f}, s.{f})" for f in SPAN_FIELDS} | {"start": "least(a.start, s.start)", "end": "greatest(a.end, s.end)", "cap_start": "CAST(NULL AS INT)", "cap_end": "CAST(NULL AS INT)"}
     union = "named_struct(" + ", ".join(f"'{f}', {fields[f]}" for f in SPAN_FIELDS) + ")"
-    both = f"element_at(transform(array({first}), w -> named_struct('out', a.out, 'last', CAST({union} AS {SPAN}))), 1)"
-    step = f"CASE WHEN a.last IS NULL THEN named_struct('out', a.out, 'last', s) WHEN s.start >= a.last.end THEN named_struct('out', concat(a.out, array(a.last)), 'last', s) ELSE {both} END"
-    zero = f"named_struct('out', {NO_SPANS}, 'last', CAST(NULL AS {SPAN}))"
-    return f"aggregate(array_sort({spans}, (l, r) -> {order}), {zero}, (a, s) -> {step}, a -> IF(a.last IS NULL, a.out, concat(a.out, array(a.last))))"
+    step = f"IF(a IS NULL, CAST(s AS {SPAN}), CAST({let(first, 'w', union)} AS {SPAN}))"
+    # A run starts where no span before reaches: each run is folded on its own.
+    starts = "filter(sequence(0, size(sorted_) - 1), i -> i = 0 OR sorted_[i].start >= reach_[i - 1])"
+    next_ = "IF(k + 1 < size(starts_), starts_[k + 1], size(sorted_))"
+    runs = f"transform(starts_, (b, k) -> aggregate(slice(sorted_, b + 1, {next_} - b), CAST(NULL AS {SPAN}), (a, s) -> {step}))"
+    merged = let(let("transform(sorted_, s -> s.end)", "ends_", running("ends_", "greatest(p, q)")), "reach_", let(starts, "starts_", runs))
+    return let(f"array_sort({spans}, (l, r) -> {order})", "sorted_", f"IF(size(sorted_) < 2, sorted_, {merged})")
 
 
 def counts_sql(spans: str) -> str:
