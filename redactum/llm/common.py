@@ -1,96 +1,34 @@
-"""What the operators share: written intermediate tables, checked broadcasts, folds."""
+"""What the operators share: checked broadcasts, batches, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when it has been written, counted and found
-#: to have no more rows than this (rows here are a few longs: under 64 MB).
-BROADCAST_ROWS = 1_000_000
-
-_FOLDERS: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir`` where the session names one. Where it is unset
-    a local session gets a temporary folder and a cluster session a folder beside
-    the warehouse, which a cluster shares.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = getattr(spark, "_redactum_shared", None)
-        if own is None:
-            if spark.sparkContext.master.startswith("local["):
-                own = "file://" + tempfile.mkdtemp(prefix="redactum-")
-            else:
-                own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_redactum"
-            spark._redactum_shared = own
-        found = own
-    return found.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _delete_all() -> None:
-    for spark, path in _FOLDERS:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may be gone by now
-            return
-
-
-class Workspace:
-    """A folder of written tables that cut a plan's lineage.
-
-    ``write`` computes a DataFrame once into the shared folder and returns the
-    table read back, so that lost executors never cause more than the current
-    step to run again. ``drop`` removes a table that nothing reads any more;
-    what a returned DataFrame still reads goes when the process ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.count = 0
-        _FOLDERS.append((spark, self.path))
+from redactum.workspace import Workspace, delete
 
-    def folder(self, name: str) -> str:
-        self.count += 1
-        return f"{self.path}/{self.count:03d}-{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.folder(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._redactum_path = path
-        return out
+#: A side of a join is broadcast only when it has been written and found to have no
+#: more rows, and no more bytes in its compressed files, than these.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            _delete(self.spark, t._redactum_path)
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a written table."""
+    jvm = df.sparkSession.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(df._redactum_path)
+    return where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a written table has at most ``rows`` rows (footer counts only)."""
-    return df.count() <= rows
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table has at most ``rows`` rows (footer counts only) in ``size`` bytes of files."""
+    return file_bytes(df) <= size and df.count() <= rows
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """Hints a broadcast for a written table of proven size; else leaves it to shuffle."""
-    return F.broadcast(df) if small_enough(df, rows) else df
+    return F.broadcast(df) if small_enough(df, rows, size) else df
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

@@ -30,7 +30,8 @@ BITS = 63
 MISS = 1e-3
 #: Passes whose copies of the vectors are on disk at a time.
 AT_ONCE = 3
-BLOCK = 1024
+#: Vectors of a block; two blocks meet in one task, so that each vector travels once per block of its group.
+BLOCK = 4096
 
 
 def prefix_bits(rows: int, window: int = WINDOW) -> int:
@@ -191,7 +192,9 @@ def embedding_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str =
     """
     spark = vectors.sparkSession
     space = Workspace(spark, "embeddings")
-    rows = vectors.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{label}`").cast("bigint").alias("label"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+    # Vectors travel in their own precision and are compared in double.
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{label}`").cast("bigint").alias("label"), F.col(f"`{vector}`").cast(kind).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & finite, F.lit(False)))
     rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
@@ -209,7 +212,7 @@ def embedding_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str =
                 keys[at] = _keys(b.column(2).take(pa.array(at)), int(d), n_passes)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(keys), pa.list_(pa.int64()))], names=["label", "rep", "v", "dim", "keys"])
 
-    keys = space.write(classes.select("label", "rep", "v", "dim").mapInArrow(keyed, "label bigint, rep bigint, v array<double>, dim int, keys array<bigint>"), "keys")
+    keys = space.write(classes.select("label", "rep", "v", "dim").mapInArrow(keyed, f"label bigint, rep bigint, v {kind}, dim int, keys array<bigint>"), "keys")
     shift = BITS - prefix_bits(most, window)
     run = ["pass", "label", "dim", "run"]
     edges = None

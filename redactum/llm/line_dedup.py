@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactum.llm.common import BROADCAST_ROWS, Workspace, checked_broadcast, in_small_batches
+from redactum.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, Workspace, checked_broadcast, file_bytes, in_small_batches
 from redactum.llm.minhash import WordHashes, _mixed
 
 #: Words from which one edit counts as the same line; 2 * ENDS at least.
@@ -129,7 +129,7 @@ def _near_lines(space: Workspace, texts: DataFrame, distinct: DataFrame) -> Data
     by = by.unionByName(near.join(small.withColumnRenamed("k", "tail"), "tail", "left_semi").select("f", "h1", "h2")).distinct()
     asked = space.write(by.groupBy(F.col("f.id").alias("aid"), F.col("f.th").alias("ath")).agg(F.collect_list(F.struct(F.col("f.no").alias("no"), "h1", "h2")).alias("nos")), "asked")
     lines = asked.agg(F.sum(F.size("nos"))).first()[0] or 0
-    found = texts.join(F.broadcast(asked) if lines <= BROADCAST_ROWS else asked, (F.col("id") == F.col("aid")) & (F.col("th") == F.col("ath"))).select("id", "th", "text", "nos").where("text IS NOT NULL")
+    found = texts.join(F.broadcast(asked) if lines <= BROADCAST_ROWS and file_bytes(asked) <= BROADCAST_BYTES else asked, (F.col("id") == F.col("aid")) & (F.col("th") == F.col("ath"))).select("id", "th", "text", "nos").where("text IS NOT NULL")
 
     def cut(batches):
         for b in in_small_batches(batches, 200):
@@ -179,14 +179,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near_w
     lines = space.write(texts.mapInArrow(lambda b: _lines(b, near_words), "id bigint, th bigint, no int, h1 bigint, h2 bigint, head bigint, tail bigint"), "lines")
     distinct = space.write(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "no")).alias("f"), F.count(F.lit(1)).alias("n"), F.first("head").alias("head"), F.first("tail").alias("tail")), "distinct")
     near = _near_lines(space, texts, distinct)
-    near = near.withColumn("near", F.lit(True))
-    again = distinct.select("h1", "h2", "f", "n").join(checked_broadcast(near), ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "f", F.coalesce("near", F.lit(False)).alias("near"))
+    again = distinct.select("h1", "h2", "f", "n").join(checked_broadcast(near).withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "f", F.coalesce("near", F.lit(False)).alias("near"))
     again = space.write(again, "again")
     gone = lines.select("id", "th", "no", "h1", "h2").join(checked_broadcast(again), ["h1", "h2"]).where((F.col("near")) | (F.struct("id", "th", "no") != F.col("f")))
     gone = gone.distinct().groupBy("id", "th").agg(F.collect_list("no").alias("nos"), F.count_if("near").alias("n_near"))
     gone = space.write(gone.select(F.col("id").alias("gid"), F.col("th").alias("gth"), "nos", "n_near"), "gone")
     held = gone.agg(F.sum(F.size("nos"))).first()[0] or 0
-    return _without(docs, F.broadcast(gone) if held <= BROADCAST_ROWS else gone, key, text)
+    return _without(docs, F.broadcast(gone) if held <= BROADCAST_ROWS and file_bytes(gone) <= BROADCAST_BYTES else gone, key, text)
 
 
 def _without(docs: DataFrame, gone: DataFrame, key: str, text: str) -> DataFrame:

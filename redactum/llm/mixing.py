@@ -88,8 +88,8 @@ def _targets(docs: DataFrame, sizes: DataFrame, how: dict) -> DataFrame:
 
 
 def _with_copies(rows: DataFrame, targets: DataFrame, key: Column, seed: str) -> DataFrame:
-    named = targets.withColumnRenamed("source", "source_")
-    out = rows.join(checked_broadcast(named), F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
+    named = checked_broadcast(targets).withColumnRenamed("source", "source_")
+    out = rows.join(named, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     extra = (unit_hash(key, seed) < rate - F.floor(rate)).cast("int")
     return out.withColumn("copies", (F.floor(rate) + extra).cast("int"))

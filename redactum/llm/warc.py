@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactum.llm.common import Workspace, _delete
+from redactum.llm.common import Workspace, delete
 
 #: An archive ends at so many records or payload bytes: bounds what one task rewrites.
 ARCHIVE_RECORDS = 5_000
@@ -269,5 +269,5 @@ def archive_pages(pages: DataFrame, folder: str | None = None, least: int = LEAS
     parts = min(archives, spark.sparkContext.defaultParallelism * 100)
     done = space.write(normalise(plan.repartition(parts), folder, level), "normalised")
     if not keep_monolithic:
-        _delete(spark, f"{folder}/monolithic")
+        delete(spark, f"{folder}/monolithic")
     return read_archives(done.repartition(parts), folder)
