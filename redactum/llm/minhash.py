@@ -31,8 +31,9 @@ BATCH = 32
 #: Chances that a pair at the threshold shares no band, and that a batch drops it.
 MISS_BANDS = 1e-4
 MISS_BATCH = 1e-5
-#: Members that meet in one task, on either side.
-BLOCK = 256
+#: Members that meet in one task on either side, and bytes of their sets: a set travels once per block of its bucket.
+BLOCK = 2048
+BLOCK_BYTES = 16 << 20
 #: Words whose hashes a Python worker keeps; the store is emptied when full.
 CACHE_WORDS = 300_000
 
@@ -200,7 +201,7 @@ def _edges_of(rows: DataFrame, keys: int, verifier: Verifier) -> DataFrame:
     return rows.repartition(*names).sortWithinPartitions(*names, "side").mapInArrow(run, _EDGES)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 4, den: int = 5, hashes: int = HASHES, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 4, den: int = 5, hashes: int = HASHES, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of ``docs``.
 
     Rows link if den * |intersection| >= num * |union| of their sets of ``words``-word
@@ -229,9 +230,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h1", "h2", "n", "bands"])
 
     base = space.write(texts.mapInArrow(sketch, "id bigint, h1 bigint, h2 bigint, n bigint, bands array<bigint>"), "sketches")
-    classes = space.write(base.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    buckets = classes.select(F.explode("bands").alias("k"), "rep")
-    shared = space.write(buckets.groupBy("k").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size")).where("head < last").drop("last"), "shared")
+    classes = space.write(base.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n").alias("n")), "classes")
+    buckets = classes.select(F.explode("bands").alias("k"), "rep", "n")
+    shared = space.write(buckets.groupBy("k").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").drop("last"), "shared")
     members = space.write(buckets.join(checked_broadcast(shared), "k"), "members")
     stars = space.write(members.where("rep <> head").select("rep", "head").distinct(), "stars")
     nodes = space.write(stars.select(F.col("rep").alias("node")).union(stars.select("head")).distinct(), "nodes")
@@ -260,10 +261,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     found = space.write(found, "found")
 
     # What is left: buckets whose members are still in several components.
-    labelled = members.join(checked_broadcast(found), F.col("rep") == F.col("id"), "left").select("k", "rep", "size", F.coalesce("component", "rep").alias("comp"))
+    labelled = members.join(checked_broadcast(found), F.col("rep") == F.col("id"), "left").select("k", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     labelled = space.write(labelled, "labelled")
-    open_ = space.write(labelled.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi AND n > 2").select("k", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "open")
-    left = labelled.drop("size").join(checked_broadcast(open_), "k").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    open_ = space.write(labelled.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("items")).where("lo < hi AND rows > 2").select("k", F.ceil(F.greatest(F.col("rows") / block, F.col("items") * 8 / block_bytes)).cast("int").alias("blocks")), "open")
+    left = labelled.drop("n").join(checked_broadcast(open_), "k").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
     left = left.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), F.col("rep").alias("node"), "comp")
@@ -280,7 +281,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` without the rows that a near-duplicate of a smaller key stands for."""
+    """``docs`` with one row of each group of near-duplicates: that of the smallest key.
+
+    Null keys come last; of rows that share a key, or have none, that of the smallest
+    hash of its text stays, of equal rows any one. So rows that are repeated stay once.
+    Rows whose text is null or has no words are in no group and all stay.
+    """
     space = Workspace(docs.sparkSession, "near")
-    gone = space.write(near_duplicates(docs, key, text, **how).where("NOT kept").select(F.col(f"`{key}`").alias("gone_")).distinct(), "gone")
-    return docs.join(checked_broadcast(gone), docs[f"`{key}`"] == F.col("gone_"), "left_anti")
+    number = "row_" + "_" * max(map(len, docs.columns))  # a name that no column has
+    rows = space.write(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(number).alias("row"))
+    groups = near_duplicates(rows, number, text, **how).select(F.col(number).alias("row"), "component_id")
+    groups = space.write(groups.join(rows.select(F.col(number).alias("row"), order.alias("at")), "row"), "groups")
+    first = space.write(groups.groupBy("component_id").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id", F.col("at.row").alias("first")), "first")
+    gone = space.write(groups.join(checked_broadcast(first), "component_id").where("row <> first").select(F.col("row").alias(number)), "gone")
+    return rows.join(checked_broadcast(gone), number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -138,3 +138,14 @@ def test_embeddings_in_a_crowd_are_not_missed(spark):
     got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_duplicates(df, block=512).collect()}
     want = near.sum(axis=1) - 1
     assert (want[:1500] >= 1).all() and sum(got[i] != n for i, n in enumerate(want)) <= 15
+
+
+def test_one_row_of_each_group_stays(spark):
+    t = "one two three four five six seven eight nine ten"
+    other = t + " eleven"
+    rows = [(None, t, 1), (None, t, 2), (3, other, 3), (3, other, 4), (5, t, 5), (None, "no such words at all here", 6), (None, "no such words at all here", 7), (8, None, 8), (8, None, 9), (9, "", 10), (9, " ", 11), (10, "alone", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_ int")
+    got = sorted((r.doc_id or 0, r.text) for r in minhash.keep_first(docs, words=3, num=4, den=5).select("doc_id", "text").collect() if r.text and r.text.strip())
+    assert got == [(0, "no such words at all here"), (3, other), (10, "alone")]
+    kept = minhash.keep_first(docs, words=3, num=4, den=5)
+    assert kept.columns == docs.columns and {r.row_ for r in kept.collect()} >= {8, 9, 10, 11, 12}

@@ -39,6 +39,20 @@ def test_good_documents_stay(spark):
     assert len(good - kept) <= 0.02 * len(good)
 
 
+def test_awkward_rows(spark, awkward):
+    """Nulls, empty and very long texts, repeats and extra columns through every stage but the first, which takes all."""
+    docs, space = awkward, Workspace(spark, "t")
+    assert c.quality_classifier(spark, docs.select(*c.COLUMNS), SF).count() <= docs.count()
+    for name, stage in c.STAGES[1:]:
+        docs = space.write(stage(spark, docs.select(*c.COLUMNS), SF), "s")
+        ids = [r.doc_id for r in docs.collect()]
+        if name == "line dedup":
+            assert ids.count(1) == 2 and 2 not in ids and {3, 4, 5} <= set(ids)
+        if name == "MinHash near-dedup":
+            assert ids.count(1) == 1 and {3, 4, 5, None} <= set(ids)
+    assert {r.copy for r in docs.collect()} <= {0, 1}
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(*c.COLUMNS).limit(0)
     for _, stage in c.STAGES:
