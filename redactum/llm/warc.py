@@ -4,7 +4,8 @@ Pages are first written as monolithic archives: one gzip stream a file. The
 normaliser inflates each stream once, rewrites every record as a gzip member of its
 own and writes a sidecar index of offsets; a record whose payload another one has
 becomes a revisit on the way. Payloads are never shuffled: only ids and digests are
-compared, and each archive meets its few decisions where it is rewritten.
+compared, and each archive meets its few decisions where it is rewritten. Archives of
+other makers, with records of any type, are normalised by the same code.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import posixpath
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,14 +44,39 @@ def record_name(page_id: int | None, archive: str, seq: int) -> str:
     return f"<urn:page:{'none' if page_id is None else page_id}:{archive}:{seq}>"
 
 
-def page_of(name: str) -> int | None:
-    part = name.strip("<>").split(":")[2]
-    return None if part == "none" else int(part)
+def page_of(name: str | None) -> int | None:
+    """The page in a record's name; null if it has none or the name is not one of ours."""
+    parts = (name or "").strip("<>").split(":")
+    return int(parts[2]) if parts[:2] == ["urn", "page"] and len(parts) == 5 and parts[2] != "none" else None
+
+
+class Headers(list):
+    """(name, value) pairs in their order; names are looked up without regard to case, the first one counts."""
+
+    def first(self, name: str, default: str | None = None) -> str | None:
+        return next((v for k, v in self if k.lower() == name.lower()), default)
+
+    def without(self, *names: str) -> list[tuple[str, str]]:
+        return [(k, v) for k, v in self if k.lower() not in names]
+
+    @classmethod
+    def of(cls, lines: list[str]) -> Headers:
+        """From ``name:value`` lines, with or without blanks; a line that starts with a blank goes on with the one before."""
+        out = cls()
+        for x in lines:
+            if x[:1] in (" ", "\t") and out:
+                out[-1] = (out[-1][0], f"{out[-1][1]} {x.strip()}")
+            elif x:
+                k, colon, v = x.partition(":")
+                if not colon:
+                    raise ValueError(f"a header line without a colon: {x[:80]!r}")
+                out.append((k.strip(), v.strip()))
+        return out
 
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + f"Content-Length: {len(block)}\r\n\r\n"
-    return head.encode() + block + b"\r\n\r\n"
+    return head.encode("utf-8", "surrogateescape") + block + b"\r\n\r\n"
 
 
 def http_head(length: int) -> bytes:
@@ -74,54 +101,73 @@ class Gzip:
         return self.z.compress(data) + self.z.flush()
 
 
-def parse_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record in a stream of inflated bytes; holds one record at a time."""
+def parse_records(chunks: Iterator[bytes]) -> Iterator[tuple[Headers, bytes]]:
+    """(headers, block) of each record in a stream of inflated bytes; holds one record at a time.
+
+    A stream that ends inside a record, and bytes that are no record, are a ValueError.
+    """
     held = bytearray()
-    ended = False
 
     def more() -> bool:
-        nonlocal ended
         for c in chunks:
             held.extend(c)
             return True
-        ended = True
         return False
 
     while True:
-        while (at := held.find(b"\r\n\r\n")) < 0 and more():
-            pass
+        seen = 0
+        while (at := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if not more():
+                break
         if at < 0:
             if held.strip():
                 raise ValueError("the archive ends inside a record")
             return
-        lines = bytes(held[:at]).decode().split("\r\n")
+        lines = bytes(held[:at]).decode("utf-8", "surrogateescape").lstrip("\r\n").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        need = at + 4 + int(headers["Content-Length"]) + 4
-        while len(held) < need:
+        headers = Headers.of(lines[1:])
+        size = headers.first("Content-Length")
+        if size is None or not size.isdigit():
+            raise ValueError("a WARC record without a length")
+        need = at + 4 + int(size)
+        while len(held) < need + 4:
             if not more():
-                raise ValueError("the archive ends inside a record")
-        block = bytes(held[at + 4 : need - 4])
-        del held[:need]
+                break
+        if len(held) < need or not b"\r\n\r\n".startswith(bytes(held[need : need + 4])):
+            raise ValueError("the archive ends inside a record, or a record's length is wrong")
+        block = bytes(held[at + 4 : need])
+        del held[: need + 4]
         yield headers, block
 
 
 def inflated(file) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or more members, in chunks."""
-    z = zlib.decompressobj(31)
+    """The bytes of a gzip file of one or more members, in chunks; a ValueError if a member does not end."""
+    z, begun = zlib.decompressobj(31), False
     while data := file.read(_CHUNK):
         while data:
+            if not begun and not (data := data.lstrip(b"\0")):  # padding after a member
+                break
+            begun = True
             out = z.decompress(data, _CHUNK)
             if out:
                 yield out
             data = z.unconsumed_tail
             if z.eof:
-                data = z.unused_data
+                data, begun = z.unused_data, False
                 z = zlib.decompressobj(31)
-    tail = z.flush()
-    if tail:
-        yield tail
+    while begun and (out := z.decompress(z.unconsumed_tail, _CHUNK)):
+        yield out
+    if begun and not z.eof:
+        raise ValueError("the gzip stream ends before its trailer")
+
+
+def payload_of(headers: Headers, block: bytes) -> bytes:
+    """What follows the HTTP head of a record that has one, else the whole block."""
+    at = block.find(b"\r\n\r\n")
+    http = (headers.first("Content-Type") or "").lower().startswith("application/http")
+    return block[at + 4 :] if http and at >= 0 else block
 
 
 def _open(path: str):
@@ -180,11 +226,28 @@ def revisit_plan(written: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     return rows.groupBy("archive").agg(F.collect_list("x").alias("x")).select("archive", F.col("x.seq").alias("seqs"), F.col("x.ref").alias("refs"))
 
 
+def _rewrite(where, source: str, base: str, again: dict[int, str], level: int) -> int:
+    """Inflates ``source`` once and writes ``base``.warc.gz, a member per record, and ``base``.idx; the number of records."""
+    offset, lines = 0, []
+    with where.open_input_stream(source, compression=None) as file, where.open_output_stream(f"{base}.warc.gz", compression=None) as out:
+        for seq, (headers, block) in enumerate(parse_records(inflated(file))):
+            data, kind = rewritten(headers, block, again.get(seq))
+            member = Gzip(level).whole(data)
+            out.write(member)
+            digest = headers.first("WARC-Payload-Digest") or (f"sha1:{digest_of(payload_of(headers, block))}" if kind in ("response", "resource") else None)
+            lines.append({"offset": offset, "length": len(member), "name": headers.first("WARC-Record-ID"), "type": kind, "digest": digest})
+            offset += len(member)
+    with where.open_output_stream(f"{base}.idx") as out:
+        out.write("".join(json.dumps(x) + "\n" for x in lines).encode("utf-8", "surrogateescape"))
+    return len(lines)
+
+
 def normalise(plan: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
     """Rewrites each monolithic archive record by record; (archive, records) for each.
 
     ``<archive>.warc.gz`` has a member per record and ``<archive>.idx`` a JSON line
-    per record: offset, length, name, type, digest.
+    per record: offset, length, name, type, digest. Names hold a random part: files that
+    the result does not name come from lost attempts and do not count.
     """
 
     def run(batches):
@@ -192,37 +255,57 @@ def normalise(plan: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
         for b in batches:
             names, counts = [], []
             for archive, seqs, refs in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                again = dict(zip(seqs, refs, strict=True))
-                offset, lines, tag = 0, [], uuid.uuid4().hex[:8]
-                parts = [f"{inner}/{archive}.{tag}.{kind}" for kind in ("warc.gz", "idx")]
-                with where.open_input_stream(f"{inner}/monolithic/{archive}.warc.gz", compression=None) as file, where.open_output_stream(parts[0], compression=None) as out:
-                    for seq, (headers, block) in enumerate(parse_records(inflated(file))):
-                        data = rewritten(headers, block, again.get(seq))
-                        member = Gzip(level).whole(data[0])
-                        out.write(member)
-                        lines.append({"offset": offset, "length": len(member), "name": headers["WARC-Record-ID"], "type": data[1], "digest": headers["WARC-Payload-Digest"]})
-                        offset += len(member)
-                with where.open_output_stream(parts[1]) as out:
-                    out.write("".join(json.dumps(x) + "\n" for x in lines).encode())
-                names.append(f"{archive}.{tag}")
-                counts.append(len(lines))
+                names.append(f"{archive}.{uuid.uuid4().hex[:8]}")
+                counts.append(_rewrite(where, f"{inner}/monolithic/{archive}.warc.gz", f"{inner}/{names[-1]}", dict(zip(seqs, refs, strict=True)), level))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["archive", "records"])
 
     return plan.mapInArrow(run, "archive string, records bigint")
 
 
-def rewritten(headers: dict[str, str], block: bytes, refers_to: str | None) -> tuple[bytes, str]:
-    kept = [(k, v) for k, v in headers.items() if k != "Content-Length"]
+def normalise_files(paths: DataFrame, folder: str, path: str = "path", level: int = LEVEL) -> DataFrame:
+    """Normalises archives of any maker; (path, archive, records, error) for each row of ``paths``.
+
+    Records of every type are kept with their headers as they are. A file that ends too
+    early, or holds what is no record, is an ``error`` of its own and stops no other; a
+    null path gives a row without archive and error. ``folder`` and the files are on
+    one file system that the executors reach.
+    """
+
+    def run(batches):
+        where, inner = _open(folder)
+        where.create_dir(inner, recursive=True)
+        for b in batches:
+            rows = ([], [], [], [])
+            for p in b.column(0).to_pylist():
+                name = count = error = None
+                if p is not None:
+                    name = f"{posixpath.basename(p).removesuffix('.gz').removesuffix('.warc')}.{uuid.uuid4().hex[:8]}"
+                    try:
+                        count = _rewrite(where, _open(p)[1] if "://" in p else p, f"{inner}/{name}", {}, level)
+                    except (ValueError, zlib.error, OSError) as e:
+                        name, error = None, str(e)
+                for col, v in zip(rows, (p, name, count, error), strict=True):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["path", "archive", "records", "error"])
+
+    return paths.select(F.col(f"`{path}`").alias("path")).mapInArrow(run, "path string, archive string, records bigint, error string")
+
+
+def rewritten(headers: Headers, block: bytes, refers_to: str | None) -> tuple[bytes, str]:
+    kept = headers.without("content-length")
     if refers_to is None:
-        return record(kept, block), headers["WARC-Type"]
-    kept = [("WARC-Type", "revisit"), *((k, v) for k, v in kept if k != "WARC-Type"), ("WARC-Refers-To", refers_to), ("WARC-Profile", _PROFILE)]
+        return record(kept, block), headers.first("WARC-Type", "")
+    kept = [("WARC-Type", "revisit"), *headers.without("content-length", "warc-type"), ("WARC-Refers-To", refers_to), ("WARC-Profile", _PROFILE)]
     return record(kept, block[: block.index(b"\r\n\r\n") + 4]), "revisit"
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """Reads the records back through the index, one member at a time, and checks every digest.
+    """Reads the records back through the index, one member at a time, and checks every
+    SHA-1 digest of a payload that stands as it is.
 
-    Returns page_id, payload_bytes, payload_digest, record_type, refers_to.
+    Returns page_id, payload_bytes, payload_digest, record_type, refers_to for responses
+    and revisits; records of other types have no payload of a page. page_id and refers_to
+    are null where a name is not one of ours, payload_bytes where a revisit tells no length.
     """
 
     def run(batches):
@@ -236,14 +319,20 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                     for x in index:
                         file.seek(x["offset"])
                         headers, block = next(parse_records(iter([zlib.decompress(file.read(x["length"]), 31)])))
-                        at = block.index(b"\r\n\r\n") + 4
-                        head = dict(h.split(": ", 1) for h in block[:at].decode().strip().split("\r\n")[1:])
-                        digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                        kind = headers["WARC-Type"]
-                        if kind == "response" and digest_of(block[at:]) != digest:
+                        kind = headers.first("WARC-Type")
+                        if kind not in ("response", "revisit"):
+                            continue
+                        at = block.find(b"\r\n\r\n")
+                        http = Headers.of(block[: max(at, 0)].decode("utf-8", "surrogateescape").split("\r\n")[1:])
+                        length = http.first("Content-Length")
+                        payload = payload_of(headers, block)
+                        digest = (x["digest"] or "").removeprefix("sha1:") or None
+                        told = (x["digest"] or "").startswith("sha1:") and not http.first("Transfer-Encoding")
+                        if kind == "response" and told and digest_of(payload) != digest:
                             raise ValueError(f"a digest does not hold in {archive} at {x['offset']}")
-                        ref = headers.get("WARC-Refers-To")
-                        for col, v in zip(rows, (page_of(headers["WARC-Record-ID"]), int(head["Content-Length"]), digest, kind, page_of(ref) if ref else None), strict=True):
+                        size = len(payload) if kind == "response" else int(length) if length and length.isdigit() else None
+                        ref = headers.first("WARC-Refers-To")
+                        for col, v in zip(rows, (page_of(headers.first("WARC-Record-ID")), size, digest, kind, page_of(ref)), strict=True):
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
@@ -254,7 +343,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None, least: int = LEAS
     """Writes ``pages`` as archives, normalises them and reads them back: a row per page.
 
     ``folder`` (default: a new one in the shared folder) gets the archives and their
-    indexes. Repeated rows become revisits of the first; rows with a null page_id
+    indexes, and ``manifest``, a table of the archives that count. Repeated rows become revisits of the first; rows with a null page_id
     come last among equals, and a revisit of such a row refers to null. An empty
     table gives no archive. Extra columns are not read.
     """
@@ -268,6 +357,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None, least: int = LEAS
     archives = max(1, plan.count())
     parts = min(archives, spark.sparkContext.defaultParallelism * 100)
     done = space.write(normalise(plan.repartition(parts), folder, level), "normalised")
+    done.write.mode("overwrite").parquet(f"{folder}/manifest")
     if not keep_monolithic:
         delete(spark, f"{folder}/monolithic")
     return read_archives(done.repartition(parts), folder)

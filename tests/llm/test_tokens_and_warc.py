@@ -1,5 +1,6 @@
 import base64
 import gzip
+import json
 import hashlib
 import io
 import random
@@ -80,7 +81,7 @@ def test_monolithic_streams_inflate_in_pieces():
     data = b"".join(warc.response(warc.record_name(i, "a", i), "http://x/é", bytes([i]) * 50_000, "D") for i in range(60))
     for raw in (gzip.compress(data), gzip.compress(data[:1000]) + gzip.compress(data[1000:])):
         assert b"".join(warc.inflated(io.BytesIO(raw))) == data
-    assert [h["WARC-Record-ID"] for h, _ in warc.parse_records(iter([data[i : i + 777] for i in range(0, len(data), 777)]))] == [warc.record_name(i, "a", i) for i in range(60)]
+    assert [h.first("warc-record-id") for h, _ in warc.parse_records(iter([data[i : i + 777] for i in range(0, len(data), 777)]))] == [warc.record_name(i, "a", i) for i in range(60)]
     with pytest.raises(ValueError):
         list(warc.parse_records(iter([data[:-9]])))
 
@@ -92,3 +93,44 @@ def test_warc_awkward(spark):
     assert got == [(0, 1, "response", 0), (0, 1, "revisit", 1), (1, 1, "response", 0), (1, 1, "revisit", 1), (2, 0, "response", 0)]
     assert warc.archive_pages(df, least=2).where("record_type = 'revisit'").count() == 0
     assert warc.archive_pages(df.limit(0)).count() == 0
+
+
+def foreign() -> bytes:
+    """An archive of another maker: other records, other cases, blanks, folded and repeated headers."""
+    def one(head: str, block: bytes) -> bytes:
+        return head.replace("\n", "\r\n").encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\ncontent-type:text/html\r\nX-A: 1\r\nX-A: 2\r\n\r\n"
+    info = b"software: crawler\r\n\r\nformat: WARC"
+    return b"".join([
+        one(f"WARC/1.0\nWARC-Type: warcinfo\nWARC-Record-ID: <urn:uuid:1>\nContent-Length: {len(info)}", info),
+        one("WARC/1.1\nwarc-type:request\nWARC-RECORD-ID:<urn:uuid:2>\nWARC-Concurrent-To: <a>\nWARC-Concurrent-To: <b>\ncontent-length:4", b"GET\n"),
+        one(f"WARC/1.1\nWARC-Type:response\nWARC-Record-ID:  <urn:uuid:3>\nWARC-Target-URI: http://x/\n y\nContent-Type: application/http;msgtype=response\ncontent-length: {len(http) + 5}", http + b"hello"),
+        one("WARC/1.1\nWARC-Type: metadata\nContent-Length: 0", b""),
+    ])
+
+
+def test_foreign_archives(spark, tmp_path):
+    data = foreign()
+    files = {"whole": gzip.compress(data), "members": gzip.compress(data[:300]) + gzip.compress(data[300:]), "cut": gzip.compress(data)[:-30], "trailer": gzip.compress(data)[:-8], "text": gzip.compress(b"no record\r\n\r\n"), "empty": b"", "plain": data}
+    for k, v in files.items():
+        (tmp_path / f"{k}.warc.gz").write_bytes(v)
+    paths = spark.createDataFrame([(f"{tmp_path}/{k}.warc.gz",) for k in [*files, "absent"]] + [(None,)], "path string")
+    out = f"file://{tmp_path}/out"
+    rows = warc.normalise_files(paths, out).collect()
+    got = {None if r.path is None else r.path.rsplit("/", 1)[-1].split(".")[0]: r for r in rows}
+    assert {k for k, r in got.items() if r.error} == {"cut", "trailer", "text", "plain", "absent"} and got["empty"].records == 0 and got[None].archive is None
+    for k in ("whole", "members"):
+        assert got[k].records == 4
+        made = (tmp_path / "out" / f"{got[k].archive}.warc.gz").read_bytes()
+        index = [json.loads(x) for x in (tmp_path / "out" / f"{got[k].archive}.idx").read_text().splitlines()]
+        assert [x["type"] for x in index] == ["warcinfo", "request", "response", "metadata"] and [x["name"] for x in index] == ["<urn:uuid:1>", "<urn:uuid:2>", "<urn:uuid:3>", None]
+        assert [x["digest"] for x in index] == [None, None, f"sha1:{digest('hello')}", None]
+        parts = [zlib.decompress(made[x["offset"] : x["offset"] + x["length"]], 31) for x in index]
+        # Nothing but the writing of headers and the version differs from the source, record by record.
+        before, after = list(warc.parse_records(iter([data]))), [next(warc.parse_records(iter([p]))) for p in parts]
+        assert [b for _, b in after] == [b for _, b in before]
+        assert [sorted(h.without("content-length")) for h, _ in after] == [sorted(h.without("content-length")) for h, _ in before]
+        assert after[1][0].without("content-length").count(("WARC-Concurrent-To", "<b>")) == 1 and after[2][0].first("warc-target-uri") == "http://x/ y"
+    read = warc.read_archives(spark.createDataFrame([(got["whole"].archive,)], "archive string"), out).collect()
+    assert [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read] == [(None, 5, digest("hello"), "response", None)]
