@@ -141,10 +141,6 @@ def rules_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def rules_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rule_counts(_table(spark, sf_dir, "documents").select("text"), "text", ["PHONE"])
-
-
 def email_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = run_rules(_table(spark, sf_dir, "documents").select("lang", "text"), "text", "s", labels=["EMAIL"])
     return spans.groupBy("lang").agg(F.sum(F.size("s")).cast("bigint").alias("n"))
@@ -353,10 +349,11 @@ def pseudonymised_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leak_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known identifiers that are still in the anonymised notes: how many, of how many."""
+    """Known values that are still in the anonymised notes: how many, of how many. One of
+    three is no identifier and has to survive."""
     base = notes(spark, sf_dir)
     out = deidentify_texts(base, "GDPR_ANON", audit=False).select("id", F.col("replacement.text").alias("text"))
-    truths = base.selectExpr("id", "explode(array(concat('u', id, '@mail.example.com'), concat('MRN-', lpad(CAST(id AS STRING), 7, '0')))) AS truth")
+    truths = base.selectExpr("id", "explode(array(concat('u', id, '@mail.example.com'), concat('MRN-', lpad(CAST(id AS STRING), 7, '0')), 'ISO 27001')) AS truth")
     left = survivors(out, truths, "id").agg(F.count(F.lit(1)).alias("survivors"))
     return left.crossJoin(F.broadcast(truths.agg(F.count(F.lit(1)).alias("checked"))))
 
@@ -370,7 +367,7 @@ def conversations_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = [
-        rules_documents, rules_pages, rules_names, rules_phone, email_by_language, email_offsets, merged_extents, nhs_checksums, shifted_dates, pseudonyms, anonymised_values, risk_levels,
+        rules_documents, rules_pages, rules_names, email_by_language, email_offsets, merged_extents, nhs_checksums, shifted_dates, pseudonyms, anonymised_values, risk_levels,
         compliance_verdicts, compliance_findings, rare_catalogue, rare_tiers, page_texts, formats, reviewed_spans, empirical_k_anonymity, own_tokens, fhir_records, hl7_records, csv_records, fonts,
         scanned_records, label_totals, deidentified_documents, pseudonymised_notes, leak_survivors, conversations_leaves,
     ]
@@ -415,5 +412,5 @@ def oracle_sql() -> dict[str, str]:
         "csv_records": "SELECT c_custkey, locator, value, forced FROM (SELECT c_custkey, unnest([{'locator': '0.0', 'value': c_name, 'forced': 'NAME'}, {'locator': '0.1', 'value': c_mktsegment, 'forced': 'ADDRESS_LINE'}, {'locator': '1.0', 'value': 'x, y', 'forced': 'NAME'}, {'locator': '1.2', 'value': 'n' || c_custkey, 'forced': '-'}], recursive := true) FROM customer)",
         "fonts": "WITH f AS (SELECT l_orderkey, ['serif', 'mono', 'sans'][CAST(l_linenumber % 3 AS INT) + 1] AS family, sum(CAST(floor(l_quantity) AS BIGINT)) AS n FROM lineitem GROUP BY ALL) SELECT l_orderkey, arg_max(family, n * 4 + CASE family WHEN 'serif' THEN 3 WHEN 'mono' THEN 2 ELSE 1 END) AS family FROM f GROUP BY l_orderkey",
         "scanned_records": "SELECT l_orderkey, avg(CAST(floor(l_quantity * 2) AS BIGINT)) < 60 AND max(CAST(floor(l_quantity * 2) AS BIGINT)) < 120 AS scanned FROM lineitem GROUP BY l_orderkey",
-        "leak_survivors": "SELECT CAST(0 AS BIGINT) AS survivors, 2 * count(*) AS checked FROM orders",
+        "leak_survivors": f"WITH {NOTES} SELECT count(*) FILTER (contains(text, 'ISO 27001')) AS survivors, 3 * count(*) AS checked FROM notes",
     }

@@ -1,7 +1,9 @@
 import duckdb
 import pytest
 
+from redactum import evidence
 from redactum import queries as q
+from redactum.functions.rules import RULES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -20,11 +22,14 @@ def rows(names, values):
     return sorted(tuple(str(r[i]) for i in order) for r in values)
 
 
-@pytest.mark.parametrize("name", sorted(q.queries()))
+QUERIES, ORACLES = q.queries() | evidence.queries(), q.oracle_sql() | evidence.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = q.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = df.collect()
-    sql = q.oracle_sql().get(name)
+    sql = ORACLES.get(name)
     if sql:
         out = con.execute(sql)
         names = [d[0] for d in out.description]
@@ -32,3 +37,10 @@ def test_query(spark, con, name):
         assert rows(df.columns, got) == rows(names, out.fetchall())
     else:
         assert got
+
+
+def test_every_label_occurs_in_a_query_with_an_oracle(con):
+    found = {"NAME"} if con.execute(ORACLES["rules_name_forms"]).fetchall() else set()
+    for name in [*q._GROUPS, "rules_more"]:
+        found |= {x[0] for x in con.execute(f"SELECT DISTINCT label FROM ({ORACLES[name]})").fetchall()}
+    assert {r.label for r in RULES} <= found
