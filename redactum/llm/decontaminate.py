@@ -23,9 +23,10 @@ from redactum.llm.common import Workspace, in_small_batches
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
 PERCENT = 5
-#: Benchmark words in one block of patterns: bounds what is broadcast (some 100 bytes
-#: a word). A larger benchmark is searched in several passes, one per block.
-BLOCK_WORDS = 1_000_000
+#: Benchmark words in one block of patterns. Measured: 100 bytes a word are broadcast, and
+#: 663 are held by a Python worker, so a block takes 20 MB of the driver and 133 MB of each
+#: worker. A larger benchmark is searched in several passes, one per block.
+BLOCK_WORDS = 200_000
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -38,11 +39,9 @@ class WuManber:
     """Finds every occurrence of every pattern; patterns are tuples of words."""
 
     def __init__(self, patterns: Iterable[tuple[tuple[str, ...], object]]):
-        by_length: dict[int, dict[tuple[str, ...], list]] = {}
-        for pattern, owner in patterns:
-            owners = by_length.setdefault(len(pattern), {}).setdefault(pattern, [])
-            if owner not in owners:
-                owners.append(owner)
+        by_length: dict[int, dict[tuple[str, ...], dict]] = {}
+        for pattern, owner in patterns:  # owners as the keys of a dict: each once, in their order
+            by_length.setdefault(len(pattern), {}).setdefault(pattern, {})[owner] = None
         self.tables = []
         for m, found in sorted(by_length.items()):
             block = min(2, m)
@@ -57,7 +56,7 @@ class WuManber:
                 buckets.setdefault(p[-block:] if block == 2 else p[-1], []).append((p, owners))
             self.tables.append((m, block, m - block + 1, shift, buckets))
 
-    def find(self, words: list[str]) -> Iterator[tuple[int, int, list]]:
+    def find(self, words: list[str]) -> Iterator[tuple[int, int, Iterable]]:
         """(start, end, owners) for each occurrence, by pattern length and position."""
         n = len(words)
         for m, block, far, shift, buckets in self.tables:
@@ -108,6 +107,37 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _ADDED = {"n_words": "bigint", "hit_starts": "array<int>", "hit_ends": "array<int>", "items": "array<string>"}
+_HITS = {n: _ADDED[n] for n in ("hit_starts", "hit_ends", "items")}
+
+
+def _arrays(found: list[tuple[list[tuple[int, int]], Iterable[str]]]) -> list[pa.Array]:
+    """Columns of hits: starts, ends and items."""
+    spans = [_merged(x) for x, _ in found]
+    return [pa.array([[s for s, _ in x] for x in spans], pa.list_(pa.int32())), pa.array([[e for _, e in x] for x in spans], pa.list_(pa.int32())), pa.array([sorted(set(x)) for _, x in found], pa.list_(pa.string()))]
+
+
+def _search(table: WuManber, words: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
+    spans, owners = [], set()
+    for s, e, who in table.find(words):
+        spans.append((s, e))
+        owners.update(who)
+    return spans, owners
+
+
+def _hits(texts: DataFrame, table: WuManber, space: Workspace) -> DataFrame:
+    """A written table (h1_, h2_, hits) of the different texts in which one block's windows occur."""
+    search = texts.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for b in in_small_batches(batches, 500):
+            found = [_search(search.value, words_of(t.as_py())) for t in b.column(2)]
+            hit = pa.array([bool(x) for x, _ in found])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_arrays(found)], names=["h1_", "h2_", *_HITS]).filter(hit)
+
+    schema = "h1_ bigint, h2_ bigint, " + ", ".join(f"{n} {t}" for n, t in _HITS.items())
+    out = space.write(texts.mapInArrow(run, schema).dropDuplicates(["h1_", "h2_"]), "hits")
+    search.destroy()
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, percent: int = PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -117,40 +147,45 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     Null and empty texts have no words and are clean; a null item text has no
     window; a null item id is the empty string. Texts are read whole, repeated rows
     are judged each on its own, an empty benchmark finds nothing. Columns of ``docs``
-    with the names of the added ones are replaced.
+    with the names of the added ones are replaced. A benchmark of one block is searched
+    in one narrow pass; of more, in one pass a block that writes what it found by two
+    hashes of the text and nothing else, joined to the documents at the end.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in (*_ADDED, "n_hit", "contaminated")]
     cur = docs.select(*[F.col(f"`{c}`") for c in names])
-    at = names.index(text)
-    space = None
-    for k, table in enumerate(_blocks(benchmark, item, item_text, size, block_words)):
-        if k:  # each further block reads what the last one found, cut off from it
-            space = space or Workspace(spark, "decontaminate")
-            cur = space.write(cur, "searched")
+    at, width = names.index(text), len(names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cur.schema) + ", " + ", ".join(f"{n} {t}" for n, t in _ADDED.items())
+    blocks = _blocks(benchmark, item, item_text, size, block_words)
+    table, following = next(blocks), next(blocks, None)
+    if following is None:
         search = spark.sparkContext.broadcast(table)
-        kept = cur.schema[: len(names)]
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", " + ", ".join(f"{n} {t}" for n, t in _ADDED.items())
 
-        def run(batches, search=search, first=k == 0, at=at, width=len(names)):
+        def run(batches):
+            for b in in_small_batches(batches, 500):
+                words = [words_of(t.as_py()) for t in b.column(at)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(w) for w in words], pa.int64()), *_arrays([_search(search.value, w) for w in words])], names=[*b.schema.names, *_ADDED])
+
+        cur = cur.mapInArrow(run, schema)
+    else:
+        space = Workspace(spark, "decontaminate")
+        hashes = [F.xxhash64(F.col(f"`{text}`")).alias("h1_"), F.xxhash64(F.lit(1), F.col(f"`{text}`")).alias("h2_")]
+        texts = docs.select(*hashes, F.col(f"`{text}`").alias("text_")).where("text_ IS NOT NULL")
+        found = None
+        while table is not None:
+            hits = _hits(texts, table, space)
+            found = hits if found is None else found.unionByName(hits)
+            table, following = following, next(blocks, None)
+        # A row for each different text that was hit, of as many entries as there are blocks at most.
+        hits = space.write(found.groupBy("h1_", "h2_").agg(F.collect_list(F.struct(*_HITS)).alias("all_")).select("h1_", "h2_", *[F.flatten(F.col("all_")[n]).alias(n) for n in _HITS]), "found")
+        cur = docs.select(*[F.col(f"`{c}`") for c in names], *hashes).join(hits, ["h1_", "h2_"], "left").select(*[F.col(f"`{c}`") for c in names], *_HITS)
+
+        def run(batches):
             for b in in_small_batches(batches, 500):
-                counts, starts, ends, items = [], [], [], []
-                old = None if first else b.select(list(_ADDED)).to_pylist()
-                for i, t in enumerate(b.column(at)):
-                    words = words_of(t.as_py())
-                    spans, owners = [], set()
-                    if old:
-                        spans, owners = list(zip(old[i]["hit_starts"], old[i]["hit_ends"], strict=True)), set(old[i]["items"])
-                    for s, e, who in search.value.find(words):
-                        spans.append((s, e))
-                        owners.update(who)
-                    spans = _merged(spans)
-                    counts.append(len(words))
-                    starts.append([s for s, _ in spans])
-                    ends.append([e for _, e in spans])
-                    items.append(sorted(owners))
-                arrays = [pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*b.columns[:width], *arrays], names=[*b.schema.names[:width], *_ADDED])
+                counts = pa.array([len(words_of(t.as_py())) for t in b.column(at)], pa.int64())
+                starts, ends, items = (b.column(width + i).to_pylist() for i in range(3))
+                together = [(list(zip(s or (), e or (), strict=True)), i or ()) for s, e, i in zip(starts, ends, items, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:width], counts, *_arrays(together)], names=[*b.schema.names[:width], *_ADDED])
 
         cur = cur.mapInArrow(run, schema)
     n_hit = F.aggregate(F.zip_with("hit_starts", "hit_ends", lambda s, e: (e - s).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
