@@ -37,14 +37,23 @@ def _gate(rule: Rule, low: str) -> str:
     return " AND ".join(f"({t})" for t in tests) or "true"
 
 
-def matches_sql(text: str, pattern: str, groups: int = 0) -> str:
-    """array<struct<s, m, c>>: place (from 0), match and first group of every match."""
+def parts_sql(text: str, pattern: str, groups: int = 0) -> str:
+    """The text cut at its matches: every second part is a match, with its first group behind a mark."""
     marked = f"regexp_replace({text}, {lit(pattern)}, {lit('\x01$0\x03' + ''.join(f'${k}' for k in range(1, groups + 1)) + '\x02')})"
-    # Every second part is a match; a part's place is the length of those before it.
+    return f"split({marked}, '[\x01\x02]', -1)"
+
+
+def hits_sql(parts: str) -> str:
+    """array<struct<s, m, c>> of the parts of a text: a part's place is the length of those before it."""
     lengths = "transform(parts_, (x, i) -> IF(i % 2 = 1, length(substring_index(x, '\x03', 1)), length(x)))"
     hit = "named_struct('s', ends_[i - 1], 'm', substring_index(parts_[i], '\x03', 1), 'c', substring(parts_[i], length(substring_index(parts_[i], '\x03', 1)) + 2))"
     found = let(let(lengths, "lengths_", running("lengths_", "p + q")), "ends_", f"transform(sequence(1, size(parts_) - 2, 2), i -> {hit})")
-    return let(f"split({marked}, '[\x01\x02]', -1)", "parts_", f"IF(size(parts_) < 3, CAST(array() AS array<{_HIT}>), {found})")
+    return let(parts, "parts_", f"IF(size(parts_) < 3, CAST(array() AS array<{_HIT}>), {found})")
+
+
+def matches_sql(text: str, pattern: str, groups: int = 0) -> str:
+    """array<struct<s, m, c>>: place (from 0), match and first group of every match."""
+    return hits_sql(parts_sql(text, pattern, groups))
 
 
 def valid_nhs_sql(x: str) -> str:
@@ -86,9 +95,8 @@ def span_sql(**v: str) -> str:
     return "named_struct(" + ", ".join(f"'{f}', {base[f]}" for f in SPAN_FIELDS) + ")"
 
 
-def rule_sql(rule: Rule, text: str, low: str, catalogue: Mapping[str, str] | None) -> str:
-    """The spans of one rule over the columns ``text``, ``low``, ``has_digit_``, ``same_`` and ``pieces_``."""
-    hits = matches_sql(text, rule.java, rule.groups)
+def rule_sql(rule: Rule, hits: str, catalogue: Mapping[str, str] | None) -> str:
+    """The spans of one rule from its hits."""
     end, cap = "h.s + length(h.m)", "CAST(NULL AS INT)"
     label, category, prio, tier = lit(rule.label), lit(rule.category), str(PRIORITY[rule.label]), "CAST(NULL AS STRING)"
     cap_end = cap
@@ -108,8 +116,8 @@ def rule_sql(rule: Rule, text: str, low: str, catalogue: Mapping[str, str] | Non
         tier = "h.tier"
     elif rule.label == "AGE_OVER_89":
         hits = f"filter({hits}, h -> CAST(h.c AS INT) BETWEEN 90 AND 130)"
-    shape = span_sql(start="h.s", end=end, text=f"IF(same_, substring(h.m, 1, ({end}) - h.s), {cut('pieces_', 'h.s', end)})", label=label, category=category, cap_start=cap, cap_end=cap_end, rare_tier=tier, prio=prio)
-    return f"IF({_gate(rule, low)}, transform({hits}, h -> CAST({shape} AS {SPAN})), {NO_SPANS})"
+    shape = span_sql(start="h.s", end=end, text=f"substring(h.m, 1, ({end}) - h.s)", label=label, category=category, cap_start=cap, cap_end=cap_end, rare_tier=tier, prio=prio)
+    return f"transform({hits}, h -> CAST({shape} AS {SPAN}))"
 
 
 def run_rules(df: DataFrame, text: str = "text", out: str = "rule_spans", catalogue: Mapping[str, str] | None = None, labels: Sequence[str] | None = None) -> DataFrame:
@@ -121,10 +129,16 @@ def run_rules(df: DataFrame, text: str = "text", out: str = "rule_spans", catalo
     rules = [r for r in RULES if labels is None or r.label in labels]
     t = f"coalesce(`{text}`, '')"
     df = held(df, {"text_": F.expr(t), "clean_": F.expr(_clean(t))})
-    df = held(df, {"low_": F.lower("clean_"), "has_digit_": F.expr("clean_ RLIKE '[0-9]'"), "same_": F.expr("clean_ = text_")})
-    df = held(df, {"pieces_": F.expr(f"IF(same_, CAST(array() AS array<string>), {pieces('text_')})")})
-    every = ", ".join(rule_sql(r, "clean_", "low_", catalogue) for r in rules)
-    return held(df, {out: F.expr(f"flatten(array({every}))")}).drop("text_", "clean_", "low_", "has_digit_", "same_", "pieces_")
+    df = held(df, {"low_": F.lower("clean_"), "has_digit_": F.expr("clean_ RLIKE '[0-9]'")})
+    cut_up = ", ".join(f"IF({_gate(r, 'low_')}, {parts_sql('clean_', r.java, r.groups)}, CAST(array() AS array<string>))" for r in rules)
+    df = held(df, {"cut_": F.expr(f"array({cut_up})")})
+    df = held(df, {"hits_": F.expr(f"transform(cut_, x -> {hits_sql('x')})")})
+    every = ", ".join(rule_sql(r, f"hits_[{i}]", catalogue) for i, r in enumerate(rules))
+    df = held(df, {"found_": F.expr(f"flatten(array({every}))")})
+    # Where the text has characters like the marks, a span's text is taken from it as it was.
+    as_it_was = "named_struct(" + ", ".join(f"'{f}', {cut('pieces_', 's.start', 's.end') if f == 'text' else f's.{f}'}" for f in SPAN_FIELDS) + ")"
+    own = let(pieces("text_"), "pieces_", f"transform(found_, s -> CAST({as_it_was} AS {SPAN}))")
+    return held(df, {out: F.expr(f"IF(clean_ = text_, found_, {own})")}).drop("text_", "clean_", "low_", "has_digit_", "cut_", "hits_", "found_")
 
 
 def merge_sql(spans: str) -> str:
