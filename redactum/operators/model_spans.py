@@ -58,24 +58,33 @@ def tokens_to_spans(tokens: list[dict], text: str, offset: int = 0) -> list[dict
 def with_model(df: DataFrame, load: Callable[[], Callable[[list[str]], list[list[dict]]]], text: str = "text", out: str = "model_spans") -> DataFrame:
     """``df`` with the spans of a model in ``out``.
 
-    ``load`` runs once a task and gives a function from texts to their tokens. A batch on
-    which it fails has no spans: the rules then stand alone.
+    ``load`` runs once a task and gives a function from texts to their tokens. Where it
+    fails on a batch it is asked text by text; a text on which it fails has no spans, so
+    that the rules stand alone there, and its error in ``{out}_error`` (null elsewhere).
     """
-    names = [c for c in df.columns if c != out]
+    failed = f"{out}_error"
+    names = [c for c in df.columns if c not in (out, failed)]
     rows = df.select(*[F.col(f"`{c}`") for c in names])
     at = names.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{out}` array<{SPAN}>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{out}` array<{SPAN}>, `{failed}` string"
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("label", pa.string()), ("category", pa.string()), ("source", pa.string()), ("confidence", pa.float64()), ("cap_start", pa.int32()), ("cap_end", pa.int32()), ("rare_tier", pa.string()), ("prio", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
+            errors: list[str | None] = [None] * len(texts)
             try:
                 tokens = model(texts)
-            except Exception:  # detection goes on with the rules alone
-                tokens = [[] for _ in texts]
+            except Exception:  # the texts that did not fail it keep their spans
+                tokens = []
+                for i, t in enumerate(texts):
+                    try:
+                        tokens += model([t])
+                    except Exception as e:
+                        tokens.append([])
+                        errors[i] = f"{type(e).__name__}: {e}"
             spans = [tokens_to_spans(k, t) for k, t in zip(tokens, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kinds)], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kinds), pa.array(errors, pa.string())], names=[*names, out, failed])
 
     return rows.mapInArrow(run, schema)
