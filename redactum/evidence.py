@@ -18,6 +18,7 @@ from redactum.operators import review
 from redactum.operators.detect import SPAN, default_quasi, detect, merge_sql, run_rules
 from redactum.operators.risk import assess_risk
 from redactum.operators.validate import emit_allowed, release_allowed, validate
+from redactum.plans.files import deidentify_files
 from redactum.plans.pipeline import batch_progress, deidentify_texts, run_batch
 from redactum.queries import _NAMES, SECRET, Query, _duck, _pad, _pads, _pick, _re2, _rule_counts, _table, _values
 from redactum.sinks.rebuild import rebuild_csv, rebuild_hl7
@@ -290,15 +291,51 @@ def csv_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuild_csv(df, leaves, "c_custkey").select("c_custkey", F.md5(F.regexp_replace(F.trim(F.regexp_replace("output", "\r", "")), "\n+$", "").cast("binary")).alias("output_md5"))
 
 
+# Files of six kinds by key: text, HL7, CSV, FHIR, a FHIR file that is cut off, a PDF without a reader.
+_MAILED = "'u' || {k} || '@mail.example.com'"
+_FILE_NAME = "'f' || {k} || CASE CAST({k} % 6 AS INT) WHEN 0 THEN '.txt' WHEN 1 THEN '.hl7' WHEN 2 THEN '.csv' WHEN 5 THEN '.pdf' ELSE '.json' END"
+
+
+def _file_text(name: str, ann: str, mail: str, fhir_break: str, csv_break: str, cut: str = "''") -> str:
+    """The content of a file; ``fhir_break`` and ``csv_break`` are what parts lines there."""
+    line = lambda depth: f"{fhir_break} || '{'  ' * depth}'" if fhir_break != "''" else "''"
+    fhir = f"'{{{{' || {line(1)} || '\"resourceType\": \"Patient\",' || {line(1)} || '\"name\": [' || {line(2)} || '{{{{' || {line(3)} || '\"family\": \"' || {name} || '\"' || {line(2)} || '}}}}' || {line(1)} || '],' || {line(1)} || '\"note\": \"mail ' || {mail} || '\"'"
+    return (
+        f"CASE CAST({{k}} % 6 AS INT) WHEN 0 THEN 'write to ' || {mail} || ' soon' WHEN 1 THEN 'MSH|^~' || chr(92) || '&|A|B' || chr(13) || 'PID|1||x||' || {name} || '^' || {ann} || chr(13) || 'NTE|1||mail ' || {mail} "
+        f"WHEN 2 THEN 'family,note' || {csv_break} || {name} || ',mail ' || {mail} WHEN 3 THEN {fhir} || {line(0)} || '}}}}' WHEN 4 THEN {fhir} || {cut} ELSE 'x' END"
+    )
+
+
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of several formats through one flow, each written again in its own format."""
+    text = _file_text("c_mktsegment", "'Ann'", _MAILED, "''", "chr(10)").format(k="c_custkey")
+    files = _table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_FILE_NAME.format(k='c_custkey')} AS filename", f"CAST({text} AS BINARY) AS bytes", "IF(c_custkey % 11 = 0, 60000000L, 100L) AS size")
+    out = deidentify_files(files, "c_custkey", "GDPR_ANON", at="CAST('2024-01-01' AS TIMESTAMP)")
+    return out.select("c_custkey", "format", "status", "output_name", "media_type", "spans_found", "replacements_made", "validation.passed", F.decode("output", "UTF-8").alias("output"))
+
+
+def _mixed_sql() -> str:
+    text = _file_text("'[NAME]'", "'[NAME]'", "'[EMAIL]'", "chr(10)", "chr(13) || chr(10)").format(k="c_custkey")
+    kind = lambda *v: "CASE CAST(c_custkey % 6 AS INT) " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(v)) + " END"
+    ok = "c_custkey % 6 < 4 AND c_custkey % 11 <> 0"
+    # Beyond the size limit a file has no content to judge by: JSON is text then.
+    form = f"CASE WHEN c_custkey % 6 IN (3, 4) AND c_custkey % 11 = 0 THEN 'TEXT' ELSE {kind(*(repr(x) for x in ('TEXT', 'HL7_V2', 'CSV', 'FHIR_R4', 'FHIR_R4', 'PDF_TYPED')))} END"
+    when = lambda x: f"CASE WHEN {ok} THEN {x} END"
+    spans = f"CAST({when(kind(1, 3, 2, 2))} AS BIGINT)"
+    name = "'f' || c_custkey || '.deidentified.' || " + kind("'txt'", "'hl7'", "'csv'", "'json'")
+    media = kind("'text/plain'", "'application/hl7-v2'", "'text/csv'", "'application/json'")
+    return f"SELECT c_custkey, {form} AS format, CASE WHEN {ok} THEN 'done' ELSE 'error' END AS status, {when(name)} AS output_name, {when(media)} AS media_type, {spans} AS spans_found, {spans} AS replacements_made, {when('true')} AS passed, {when(text)} AS output FROM customer"
+
+
 def queries() -> dict[str, Query]:
-    made: list[Callable] = [rules_more, rules_name_forms, rules_phone, formats_by_extension, staged_files, merge_winners, model_buckets, decided_spans, highlighted, replaced_texts, pseudonymised_texts, residual_leaks, risk_breakdowns, date_orders, batch_states, hl7_rebuilt, csv_rebuilt]
+    made: list[Callable] = [rules_more, rules_name_forms, rules_phone, formats_by_extension, staged_files, merge_winners, model_buckets, decided_spans, highlighted, replaced_texts, pseudonymised_texts, residual_leaks, risk_breakdowns, date_orders, batch_states, hl7_rebuilt, csv_rebuilt, mixed_files]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "rules_more": _rules_more_sql(), "rules_name_forms": _rules_name_forms_sql(), "rules_phone": f"SELECT label, value, count(*) AS n FROM ({_phone('documents', 'text')}) GROUP BY ALL", "formats_by_extension": _FORMATS_SQL, "staged_files": _STAGED_SQL, "merge_winners": _MERGE_SQL,
-        "model_buckets": _buckets_sql(), "decided_spans": _DECIDED_SQL, "highlighted": _HIGHLIGHT_SQL, "replaced_texts": _REPLACED_SQL, "pseudonymised_texts": _pseudonymised_sql(), "residual_leaks": _RESIDUAL_SQL, "risk_breakdowns": _BREAKDOWN_SQL, "date_orders": _ORDERS_SQL, "batch_states": _BATCH_SQL,
+        "model_buckets": _buckets_sql(), "decided_spans": _DECIDED_SQL, "highlighted": _HIGHLIGHT_SQL, "replaced_texts": _REPLACED_SQL, "pseudonymised_texts": _pseudonymised_sql(), "residual_leaks": _RESIDUAL_SQL, "risk_breakdowns": _BREAKDOWN_SQL, "date_orders": _ORDERS_SQL, "batch_states": _BATCH_SQL, "mixed_files": _mixed_sql(),
         "hl7_rebuilt": "SELECT c_custkey, " + _HL7.format(name="upper(c_name)", seg="upper(c_mktsegment)", ann="ANN", b="B", x="X", town="TOWN") + " AS output FROM customer",
         "csv_rebuilt": "SELECT c_custkey, md5('family,note' || chr(10) || upper(c_name) || ',' || upper(c_mktsegment) || chr(10) || '\"X, Y\",N' || c_custkey) AS output_md5 FROM customer",
     }

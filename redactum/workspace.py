@@ -64,9 +64,9 @@ class Workspace:
         self.count += 1
         return f"{self.path}/{self.count:03d}-{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         path = self.folder(name)
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._redactum_path = path
         return out
