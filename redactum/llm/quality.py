@@ -148,16 +148,22 @@ def train(docs: DataFrame, positives: DataFrame, key: str = "doc_id", text: str
     """A model from trusted keys and from ``docs`` as unlabelled text.
 
     ``positives`` has the column ``key``; keys that are null or not in ``docs`` do not
-    count. About ``positive_rows`` and ``unlabelled_rows`` rows at most are read, those
-    of the lowest hashes of their keys. None if there is nothing to learn from.
+    count. About ``positive_rows`` and ``unlabelled_rows`` rows are read at most, however
+    many rows share a key: trusted keys and unlabelled rows of the lowest hashes, the rows
+    of the keys thinned again by a hash of key and text, and rows equal in both taken once.
+    None if there is nothing to learn from.
     """
     space = Workspace(docs.sparkSession, "quality")
     good = space.write(positives.select(F.col(f"`{key}`").alias("good_")).where("good_ IS NOT NULL").distinct(), "good")
-    some = space.write(good.where(_share("good_", positive_rows, good.count())), "sample")
+    some = space.write(good.where(_share(["good_"], positive_rows, good.count())), "sample")
     rows = docs.select(F.col(f"`{key}`").alias("k_"), F.col(f"`{text}`").alias("t_"))
-    rows = rows.join(checked_broadcast(some), F.col("k_") == F.col("good_"), "left")
-    rows = rows.withColumn("u_", F.coalesce(_share("k_", unlabelled_rows, docs.count()), F.lit(True)))
-    rows = rows.where("good_ IS NOT NULL OR u_").select(F.col("good_").isNotNull().alias("p_"), "u_", "t_")
+    some = checked_broadcast(some)
+    n_good = rows.select("k_").join(some, F.col("k_") == F.col("good_")).count()
+    rows = rows.join(some, F.col("k_") == F.col("good_"), "left")
+    rows = rows.withColumn("u_", _share(["k_", "t_"], unlabelled_rows, docs.count()))
+    rows = rows.withColumn("p_", F.col("good_").isNotNull() & _share(["t_", "k_"], positive_rows, n_good))
+    rows = rows.where("p_ OR u_").groupBy("k_", F.xxhash64("t_").alias("h_"), F.xxhash64(F.lit(1), "t_").alias("g_"))
+    rows = rows.agg(F.first("p_").alias("p_"), F.first("u_").alias("u_"), F.first("t_").alias("t_")).select("p_", "u_", "t_")
 
     def run(batches):
         for b in in_small_batches(batches, 500):
@@ -173,8 +179,8 @@ def train(docs: DataFrame, positives: DataFrame, key: str = "doc_id", text: str
     return fit(x[p], x[u])
 
 
-def _share(key: str, most: int, of: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, most / max(1, of)))
+def _share(names: list[str], most: int, of: int) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, most / max(1, of)))
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -34,6 +34,16 @@ def test_negative_risk_is_not_followed():
     assert model.score(x(2, 200)).mean() > 0.8 and model.score(x(-2, 200)).mean() < 0.2
 
 
+def test_quality_rows_are_bounded_whatever_their_keys(spark, monkeypatch):
+    rows = [(7, f"good text number {i}.") for i in range(4000)] + [(None, f"null {i}") for i in range(4000)] + [(8, "the same row")] * 4000
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda p, u: seen.append((len(p), len(u))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    quality.train(docs, spark.createDataFrame([(7,), (8,)], "doc_id long"), positive_rows=200, unlabelled_rows=300)
+    ((p, u),) = seen
+    assert 50 < p < 300 and 100 < u < 450
+
+
 def test_quality_awkward(awkward, empty, spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1), (77, 1)], "doc_id long, quality int")
     assert [r.doc_id for r in quality.trusted(labels).where("doc_id IS NOT NULL").orderBy("doc_id").collect()] == [2, 77]
