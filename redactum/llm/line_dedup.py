@@ -154,11 +154,14 @@ def _near_lines(space: Workspace, texts: DataFrame, distinct: DataFrame) -> Data
     met = variants.join(checked_broadcast(targets), "k").where("(at = -1 OR at = i) AND m <> lid")
     links = met.select(F.greatest("lid", "m").alias("later"), F.least("lid", "m").alias("earlier")).groupBy("later").agg(F.min("earlier").alias("earlier"))
     links = space.write(links, "links")
+    space.drop(shared, asked, targets)
     small = checked_broadcast(links)
     later = flagged.join(small, flagged["lid"] == F.col("later")).select("h1", "h2", "earlier", F.col("line").alias("a"))
     first = flagged.select("lid", F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("b"))
     pairs = later.join(first, F.col("earlier") == F.col("lid")).where("h1 <> e1 OR h2 <> e2").select("h1", "h2", "a", "b")
-    return space.write(pairs.mapInArrow(_verified, "h1 bigint, h2 bigint").distinct(), "near")
+    near = space.write(pairs.mapInArrow(_verified, "h1 bigint, h2 bigint").distinct(), "near")
+    space.drop(flagged, links)
+    return near
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near_words: int = NEAR_WORDS) -> DataFrame:
@@ -181,9 +184,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near_w
     near = _near_lines(space, texts, distinct)
     again = distinct.select("h1", "h2", "f", "n").join(checked_broadcast(near).withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "f", F.coalesce("near", F.lit(False)).alias("near"))
     again = space.write(again, "again")
+    space.drop(distinct, near)
     gone = lines.select("id", "th", "no", "h1", "h2").join(checked_broadcast(again), ["h1", "h2"]).where((F.col("near")) | (F.struct("id", "th", "no") != F.col("f")))
     gone = gone.distinct().groupBy("id", "th").agg(F.collect_list("no").alias("nos"), F.count_if("near").alias("n_near"))
     gone = space.write(gone.select(F.col("id").alias("gid"), F.col("th").alias("gth"), "nos", "n_near"), "gone")
+    space.drop(lines, again)
     held = gone.agg(F.sum(F.size("nos"))).first()[0] or 0
     return _without(docs, F.broadcast(gone) if held <= BROADCAST_ROWS and file_bytes(gone) <= BROADCAST_BYTES else gone, key, text)
 
