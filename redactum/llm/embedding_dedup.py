@@ -228,7 +228,9 @@ def embedding_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str =
         crowds = _in_blocks(laid.join(small, run), run).repartition(*run, "i", "j").sortWithinPartitions(*run, "i", "j")
         met = crowds.mapInArrow(lambda b: _forests(b, threshold), "a bigint, b bigint")
         found = space.write(pairs.union(met).distinct(), "pairs")
+        space.drop(long)
         edges = found if edges is None else edges.union(found)
+    space.drop(keys)
     components = space.write(connected_components(spark, edges, space).withColumnRenamed("id", "rep"), "components")
 
     # Exact counts of direct links: within a component every block meets every other.
@@ -238,6 +240,7 @@ def embedding_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str =
     inside = _in_blocks(inside.join(checked_broadcast(sizes), "component"), ["component", "dim"], "n")
     counted = inside.repartition("component", "i", "j").sortWithinPartitions(*groups).mapInArrow(lambda b: _counts(b, threshold), "rep bigint, linked bigint")
     linked = space.write(counted.groupBy("rep").agg(F.sum("linked").alias("linked")), "linked")
+    space.drop(sizes)
 
     owners = classes.select("label", "h1", "h2", "rep", "n").join(components, "rep", "left").join(linked, "rep", "left")
     owners = owners.select("label", "h1", "h2", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), F.lit(True).alias("ok"))
