@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactum.llm import bpe_count, decontaminate, embedding_dedup, line_dedup, minhash, mixing, quality, secrets_scan, warc
+from redactum.llm import bpe_count, decontaminate, embedding_dedup, filter_audit, line_dedup, minhash, mixing, quality, resampling, secrets_scan, toxicity, warc
 from redactum.llm import language_id as lid
 from redactum.session import ship_package, spread
 
@@ -73,6 +73,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, _table(spark, sf_dir, "labels"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lid.fold(F.col("doc_id"), 4) == 2
+    model = toxicity.train(docs.where(~held_out), _table(spark, sf_dir, "labels").where(~held_out))
+    out = toxicity.score(docs, model).withColumn("worst", F.expr("array_max(transform(offending, x -> struct(x.score AS score, -x.start AS place, x.end AS end)))"))
+    return out.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.ACCEPT).cast("int").alias("predicted"), "n_sentences", F.size("offending").cast("bigint").alias("n_offending"),
+        (-F.col("worst.place")).alias("worst_start"), F.col("worst.end").alias("worst_end"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_decontamination, op4_secrets, op5_quality, op6_language_id, op7_embedding_dedup, op8_minhash, op9_token_counts, op10_warc, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_decontamination, op4_secrets, op5_quality, op6_language_id, op7_embedding_dedup, op8_minhash, op9_token_counts, op10_warc, op11_resampling, op12_filter_audit, op13_toxicity, pipeline)}
 
 
 _WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -143,8 +164,44 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
        CASE WHEN page_id <> first THEN first END AS refers_to FROM q
 """
 
+_OP11 = f"""
+WITH table_ AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))),
+d AS (SELECT doc_id, {_WORDS.format(t="coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT {_WORDS.format(t="coalesce(text, '')")} AS w FROM benchmark),
+of_docs AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+of_items AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+known AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM of_docs UNION SELECT f FROM of_items)),
+crcs AS (SELECT f, xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM known, table_),
+s AS (SELECT bucket, count(*) AS n FROM of_docs JOIN crcs USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM of_items JOIN crcs USING (f) GROUP BY bucket),
+whole AS (SELECT coalesce((SELECT sum(n) FROM s), 0) AS sn, coalesce((SELECT sum(n) FROM t), 0) AS tn),
+g AS (SELECT s.bucket, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * (sn + 10000) AS DOUBLE) / CAST((s.n + 1) * (tn + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), whole),
+m AS (SELECT doc_id, count(*) AS n, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM of_docs JOIN crcs USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+x AS (SELECT d.doc_id, len(d.w) AS words, coalesce(m.n, 0) AS n_features, coalesce(m.weight, 0) AS weight, CAST('0x' || substr(sha256('SEED:' || d.doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (doc_id)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM x),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM y WHERE words >= 20)
+SELECT y.doc_id, y.n_features, y.weight, y.score, CASE WHEN z.r <= 25 * z.n // 100 THEN z.r END AS rank FROM y LEFT JOIN z USING (doc_id)
+""".replace("SEED", resampling.SEED)
+
+_OP12 = """
+WITH d AS (SELECT doc_id, coalesce(CAST(source AS VARCHAR), '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+m AS (SELECT doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * len(t), regexp_matches(t, '[#$%&*|]'), doc_id > first] AS f FROM w),
+k AS (SELECT m.part, m.f, l.quality = 1 AS good, l.toxic = 1 AS toxic FROM m LEFT JOIN labels l USING (doc_id)),
+c AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM k GROUP BY part, f),
+o AS (SELECT a.i AS i1, b.i AS i2, c.i AS i3, d.i AS i4, e.i AS i5 FROM range(1, 6) a(i), range(1, 6) b(i), range(1, 6) c(i), range(1, 6) d(i), range(1, 6) e(i) WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+p AS (SELECT [i1, i2, i3, i4, i5] AS q, array_to_string(list_transform([i1, i2, i3, i4, i5], lambda x: 'ABCDE'[x]), '') AS filter_order FROM o),
+s AS (SELECT q, filter_order, step, q[step] AS own FROM p, range(1, 6) r(step)),
+x AS (SELECT c.part, s.filter_order, CAST(s.step AS INT) AS step, s.own, c.n, c.good, c.toxic, c.f[s.own] AS fails, list_bool_or(list_transform(s.q[1:s.step-1], lambda j: c.f[j])) AS gone,
+             len(list_filter(c.f, lambda y: y)) = 1 AS alone FROM c, s),
+r AS (SELECT part, filter_order, step, own, CAST(coalesce(sum(n) FILTER (NOT fails AND NOT coalesce(gone, false)), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (fails AND NOT coalesce(gone, false)), 0) AS BIGINT) AS removed,
+             CAST(coalesce(sum(n) FILTER (fails AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails AND alone), 0) AS BIGINT) AS unique_fails,
+             CAST(coalesce(sum(good) FILTER (fails AND NOT coalesce(gone, false)), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (fails AND NOT coalesce(gone, false)), 0) AS BIGINT) AS toxic_lost FROM x GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    """Those of op4 to op9 and of the pipeline have none: decoding, models, searches for
+    """Those of op4 to op9, of op13 and of the pipeline have none: decoding, models, searches for
     neighbours and merges are held against brute force in the tests."""
-    return {"op1_line_dedup": _OP1, "op2_mixing": _OP2, "op3_decontamination": _OP3, "op10_warc": _OP10}
+    return {"op1_line_dedup": _OP1, "op2_mixing": _OP2, "op3_decontamination": _OP3, "op10_warc": _OP10, "op11_resampling": _OP11, "op12_filter_audit": _OP12}
