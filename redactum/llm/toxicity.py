@@ -197,7 +197,7 @@ def _telling_runs(rows: DataFrame) -> list[str]:
                 if len(seen) > 200_000:
                     seen.clear()
         for toxic, c in enumerate(total):
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()), pa.array([bool(toxic)] * len(c)), pa.array(list(c.values()), pa.int64())], names=["h", "toxic", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()), pa.array([bool(toxic)] * len(c), pa.bool_()), pa.array(list(c.values()), pa.int64())], names=["h", "toxic", "n"])
 
     by_label = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(by_label) < 2:
