@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from redactum.functions.rules import PARTICLES, PRIORITY, RULES
-from redactum.functions.sql import to_java
+from redactum.functions.sql import pieces, to_java
 from redactum.operators.detect import SPAN, default_quasi, detect, label_counts, matches_sql, merge_sql, run_rules
-from redactum.operators.model_spans import group_tokens, tokens_to_spans, with_model
+from redactum.operators.model_spans import TOKEN, groups_sql, token_spans, with_model
 
 SNIPPETS = [
     ("mail Ann.B+c@x-y.example.org now", "EMAIL", "Ann.B+c@x-y.example.org"), ("see https://a.b/c?d=e f", "URL", "https://a.b/c?d=e"), ("from 10.0.255.1.", "IP", "10.0.255.1"),
@@ -141,20 +141,49 @@ def token(entity, start, end, score=0.99):
     return {"entity": entity, "word": "", "start": start, "end": end, "score": score}
 
 
-def test_token_groups():
+def grouped(tokens, text):
+    """The definition: an entity at a time, each token looked at with the last entity."""
+    out = []
+    for t in tokens:
+        tag, _, kind = t["entity"].rpartition("-")
+        gap = text[out[-1][2] : t["start"]] if out else ""
+        if out and out[-1][0] == kind and not gap.strip() and (not gap or tag != "B"):
+            out[-1][2:] = [t["end"], [*out[-1][3], t["score"]]]
+        else:
+            out.append([kind, t["start"], t["end"], [t["score"]]])
+    return [(k, s, e, pytest.approx(sum(x) / len(x))) for k, s, e, x in out]
+
+
+def test_token_groups(spark):
     t = "Anjula Weeranayake wrote this."
-    assert [(g["type"], t[g["start"] : g["end"]]) for g in group_tokens([token("B-PER", 0, 2), token("I-PER", 2, 4), token("I-PER", 4, 6), token("I-PER", 7, 9), token("I-PER", 9, 18)], t)] == [("PER", "Anjula Weeranayake")]
-    assert len(group_tokens([token("B-PER", 0, 5), token("B-PER", 10, 13)], "Alice met Bob.")) == 2
-    assert len(group_tokens([token("B-ORG", 0, 4), token("I-ORG", 10, 19)], "NIST, and Microsoft")) == 2
+    rows = [([token("B-PER", 0, 2), token("I-PER", 2, 4), token("I-PER", 4, 6), token("I-PER", 7, 9), token("I-PER", 9, 18)], t), ([token("B-PER", 0, 5), token("B-PER", 10, 13)], "Alice met Bob."), ([token("B-ORG", 0, 4), token("I-ORG", 10, 19)], "NIST, and Microsoft"), ([], ""), ([], "x" * 3000)]
+    r = random.Random(6)
+    for _ in range(300):
+        text = "".join(r.choices("ab \n,é", k=40))
+        places = sorted(r.sample(range(41), 8))
+        rows.append(([token(r.choice(["B-", "I-", ""]) + r.choice(["PER", "LOC"]), a, b, r.random()) for a, b in zip(places[::2], places[1::2], strict=True)], text))
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], f"id long, tokens array<{TOKEN}>, text string")
+    got = {x.id: [(g.kind, g.s, g.e, g.score) for g in x.g] for x in df.select("id", F.expr(groups_sql("tokens", pieces("text"))).alias("g")).collect()}
+    assert got == {i: grouped(*x) for i, x in enumerate(rows)}
+    assert len(got[0]) == 1 and t[got[0][0][1] : got[0][0][2]] == "Anjula Weeranayake" and len(got[1]) == len(got[2]) == 2
 
 
 @pytest.mark.parametrize("tokens,text,want", [
     ([token("B-ORG", 0, 2), token("B-ORG", 13, 14)], "An update on N systems.", []), ([token("B-PER", 10, 12)], "Signed by Weeranayake today.", ["Weeranayake"]), ([token("B-LOC", 0, 9)], "DISCHARGE SUMMARY for review.", []),
     ([token("B-ORG", 8, 18), token("I-ORG", 19, 28), token("I-ORG", 29, 33)], "Seen at Manchester Discharge Unit.", ["Manchester Discharge Unit"]),
 ])
-def test_tokens_to_spans(tokens, text, want):
-    assert [s["text"] for s in tokens_to_spans(tokens, text)] == want
-    assert all(s["start"] >= 100 for s in tokens_to_spans(tokens, text, 100))
+def test_tokens_to_spans(spark, tokens, text, want):
+    df = spark.createDataFrame([(tokens, text)], f"tokens array<{TOKEN}>, text string")
+    assert [s.text for s in token_spans(df).first().model_spans] == want
+    assert all(s.start >= 100 for s in token_spans(df, offset="100").first().model_spans)
+
+
+def test_spans_of_awkward_texts(spark):
+    long = "x" * 5000
+    rows = [(1, [token("B-PER", 3000, 3002)], f"{long} y"), (2, [token("B-PER", 0, 1)], None), (3, None, "Bob"), (4, [token("B-ORG", 1, 3), token("B-MISC", 5, 9), token("PER", 5, 7)], "Ünï O'Neill-Smith, Bob"), (5, [token("B-LOC", 5004, 5006)], f"{long} 😀Àbcd e")]
+    out = {r.id: [(s.start, s.end, s.text, s.label, s.category) for s in r.model_spans] for r in token_spans(spark.createDataFrame(rows, f"id long, tokens array<{TOKEN}>, text string")).collect()}
+    assert out[1] == [(0, 5000, long, "NAME", "HIPAA")] and out[2] == [] == out[3]
+    assert out[4] == [(0, 3, "Ünï", "INSTITUTION", "QUASI"), (4, 17, "O'Neill-Smith", "NAME", "HIPAA")] and out[5] == [(5002, 5006, "Àbcd", "ADDRESS_LINE", "HIPAA")]
 
 
 def test_forced_and_counts(spark):

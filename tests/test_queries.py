@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from redactum import evidence, file_queries
+from redactum import evidence, file_queries, page_queries
 from redactum import queries as q
 from redactum.functions.rules import RULES
 
@@ -22,7 +22,7 @@ def rows(names, values):
     return sorted(tuple(str(r[i]) for i in order) for r in values)
 
 
-QUERIES, ORACLES = q.queries() | evidence.queries() | file_queries.queries(), q.oracle_sql() | evidence.oracle_sql() | file_queries.oracle_sql()
+QUERIES, ORACLES = q.queries() | evidence.queries() | file_queries.queries() | page_queries.queries(), q.oracle_sql() | evidence.oracle_sql() | file_queries.oracle_sql() | page_queries.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
