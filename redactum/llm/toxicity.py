@@ -23,6 +23,7 @@ from zlib import crc32
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +31,12 @@ from redactum.llm.common import Workspace, checked_broadcast, in_small_batches
 
 #: Bounds of the labelled sample: rows of each label, code points of each label, code
 #: points of a text that teaches.
-TOXIC_ROWS, CLEAN_ROWS, LABEL_CHARS, TEXT_CHARS = 4_000, 8_000, 40_000_000, 1_000_000
+TOXIC_ROWS, CLEAN_ROWS, LABEL_CHARS, TEXT_CHARS = 2_500, 5_000, 20_000_000, 1_000_000
 #: Lengths of runs of letters, a blank for either end of the word; whole words count besides.
 RUNS = (3, 4, 5, 6)
 #: Runs are counted by hashes of so many bits; most runs that are kept, and what a run
 #: has to show: documents that are toxic, and twice the log of its likelihood ratio.
-BITS, KEPT, LEAST_TOXIC, LEAST_EVIDENCE = 22, 4_000, 3, 12.0
+BITS, KEPT, LEAST_TOXIC, LEAST_EVIDENCE = 22, 1_500, 3, 12.0
 #: A longer sentence is cut after so many words.
 SENTENCE_WORDS = 40
 STEPS, RATE, DECAY = 600, 0.05, 2e-5
@@ -151,16 +152,13 @@ def fit(names: list[str], run: np.ndarray, of: np.ndarray, doc: np.ndarray, y: n
     return Model(names, w[:-1], float(w[-1]))
 
 
-def evidence(a: np.ndarray, b: np.ndarray, toxic: float, clean: float) -> np.ndarray:
-    """Twice the log likelihood ratio of a run met in a of the toxic and b of the clean, 0 if it is no rarer in the clean."""
-
-    def part(k, n):
-        return np.where(k > 0, k * np.log(np.maximum(k, 1e-300) / n), 0.0)
-
-    both = (a + b) / (toxic + clean)
-    out = 2 * (part(a, a + b) + part(b, a + b) - a * math.log(toxic / (toxic + clean)) - b * math.log(clean / (toxic + clean)))
-    out = out + 2 * (part(toxic - a, toxic + clean - a - b) + part(clean - b, toxic + clean - a - b) - (toxic - a) * math.log(toxic / (toxic + clean)) - (clean - b) * math.log(clean / (toxic + clean)))
-    return np.where(a / toxic > both, out, 0.0)
+def evidence_sql(a: str, b: str, toxic: int, clean: int) -> str:
+    """Twice the log likelihood ratio of a run met in a of the toxic and b of the clean documents, 0 if it is no rarer in the clean."""
+    part = lambda k, n: f"IF({k} > 0, {k} * ln(CAST({k} AS DOUBLE) / {n}), 0.0D)"
+    rest = f"({toxic + clean} - {a} - {b})"
+    met = " + ".join([part(a, f"({a} + {b})"), part(b, f"({a} + {b})"), part(f"({toxic} - {a})", rest), part(f"({clean} - {b})", rest)])
+    whole = sum(n * math.log(n / (toxic + clean)) for n in (toxic, clean))
+    return f"IF({a} * {clean}L > {b} * {toxic}L, 2 * ({met} - ({whole!r}D)), 0.0D)"
 
 
 def sample(docs: DataFrame, labels: DataFrame, space: Workspace, key: str, text: str, label: str) -> tuple[DataFrame, dict[bool, float]] | None:
@@ -203,11 +201,9 @@ def _telling_runs(rows: DataFrame) -> list[str]:
     if len(by_label) < 2:
         return []
     counts = rows.mapInArrow(count, "h bigint, toxic boolean, n bigint").groupBy("h").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("b"))
-    pairs = counts.where(F.col("a") >= LEAST_TOXIC).toPandas()
-    strong = evidence(pairs["a"].to_numpy(float), pairs["b"].to_numpy(float), float(by_label[True]), float(by_label[False]))
-    order = np.lexsort((pairs["h"].to_numpy(), -strong))
-    order = order[strong[order] >= LEAST_EVIDENCE][:KEPT]
-    rank = dict(zip(pairs["h"].to_numpy()[order].tolist(), range(len(order)), strict=True))
+    strong = counts.where(F.col("a") >= LEAST_TOXIC).withColumn("e", F.expr(evidence_sql("a", "b", by_label[True], by_label[False])))
+    best = strong.where(F.col("e") >= LEAST_EVIDENCE).orderBy(F.col("e").desc(), "h").limit(KEPT).select("h").collect()
+    rank = {r["h"]: i for i, r in enumerate(best)}
 
     def spell(batches: Iterator) -> Iterator:
         for b in in_small_batches(batches, TEXTS):
@@ -231,15 +227,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def read(batches: Iterator) -> Iterator:
         for b in in_small_batches(batches, TEXTS):
-            out = [(len(p := sentences(t)), *map(np.ndarray.tolist, reader.found(spread_out(t, p)))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))))], names=["toxic", "n", "run", "of"])
-
-    found = rows.mapInArrow(read, "toxic boolean, n bigint, run array<bigint>, of array<bigint>").where("n > 0").toPandas()
-    found = found.iloc[np.lexsort((found["of"].map(len), found["run"].map(lambda r: crc32(np.asarray(r, np.int64).tobytes())), found["n"]))]  # the same however rows arrive
-    n, y = found["n"].to_numpy(), found["toxic"].to_numpy(bool)
-    starts = np.cumsum(n) - n
-    run = np.concatenate([np.asarray(r, np.int64) for r in found["run"]])
-    of = np.concatenate([np.asarray(o, np.int64) + s for o, s in zip(found["of"], starts, strict=True)])
+            out = [(len(p := sentences(t)), *reader.found(spread_out(t, p))) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[i] for x in out], pa.list_(pa.int32())) for i in (1, 2))], names=["toxic", "h", "n", "run", "of"])
+
+    # In one order however rows arrive, so that sums come out alike.
+    found = rows.select("toxic", "text", F.xxhash64("text").alias("h")).mapInArrow(read, "toxic boolean, h bigint, n int, run array<int>, of array<int>").where("n > 0").orderBy("n", "h").toArrow()
+    n, y = found["n"].to_numpy(), found["toxic"].to_numpy().astype(bool)
+    run, of = (pc.list_flatten(found[c]).to_numpy() for c in ("run", "of"))
+    of = of + np.repeat((np.cumsum(n) - n).astype(np.int32), pc.list_value_length(found["run"]).to_numpy())
+    del found
     doc = np.repeat(np.arange(len(n)), n)
     return fit(names, run, of, doc, y, np.where(y, 1 / share[True], 1 / share[False]))
 

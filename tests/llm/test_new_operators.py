@@ -175,12 +175,12 @@ def test_risk_and_slopes_by_definition():
     assert toxicity.noisy_or(z[doc == 0]) == pytest.approx(loss(w, b)[1][0])
 
 
-def test_evidence_is_the_likelihood_ratio():
+def test_evidence_is_the_likelihood_ratio(spark):
     a, b, n, m = 30, 5, 100, 400
     log = lambda k, n, p: k * math.log(p) + (n - k) * math.log(1 - p)
     ratio = 2 * (log(a, n, a / n) + log(b, m, b / m) - log(a, n, (a + b) / (n + m)) - log(b, m, (a + b) / (n + m)))
-    assert toxicity.evidence(np.array([a]), np.array([b]), n, m)[0] == pytest.approx(ratio)
-    assert toxicity.evidence(np.array([1]), np.array([40]), n, m)[0] == 0
+    of = lambda a, b: spark.sql(f"SELECT {toxicity.evidence_sql('a', 'b', n, m)} FROM VALUES ({a}L, {b}L) AS t(a, b)").first()[0]
+    assert of(a, b) == pytest.approx(ratio) and of(1, 40) == 0 and of(100, 0) == pytest.approx(-2 * (100 * math.log(0.2) + 400 * math.log(0.8)))
 
 
 @settings(deadline=None, max_examples=100)
