@@ -54,6 +54,26 @@ def in_small_batches(batches: Iterable, rows: int) -> Iterator:
             yield b.slice(i, rows)
 
 
+def numbered(rows: DataFrame, order: list[Column], space: Workspace, name: str = "rank") -> DataFrame:
+    """``rows``, written in ``order``, with their place in it from 0 in the column ``name``.
+
+    Ranges of the order are sorted each on its own; a row's place is that in its range, as
+    Spark counts rows on in sorted partitions, after the sizes of the ranges before. One
+    number a range comes to the driver. No task takes all rows.
+    """
+    spark = rows.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id())
+    out = space.write(out, "sorted")
+    starts, before = [], 0
+    for k, n in sorted(out.groupBy(F.shiftright("at_", 33).alias("range")).count().collect()):
+        starts.append((k, before))
+        before += n
+    starts = F.broadcast(spark.createDataFrame(starts, "range_ bigint, start_ bigint"))
+    out = out.join(starts, F.shiftright("at_", 33) == F.col("range_"))
+    return out.withColumn(name, F.expr(f"start_ + (at_ & {(1 << 33) - 1}L)")).drop("at_", "range_", "start_")
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, space: Workspace) -> DataFrame:
     """(id, component): the smallest id that the links (a, b) reach, for each linked id.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactum.llm.common import Workspace, in_small_batches
+from redactum.llm.common import Workspace, in_small_batches, numbered
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -210,27 +210,16 @@ def gumbel_sql(key: str, seed: str = SEED) -> str:
 def resample(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", percent: int = DRAWN_PERCENT, least_words: int = LEAST_WORDS, seed: str = SEED) -> DataFrame:
     """(key, n_words, n_features, weight, score, rank) of every row; rank is null where it is not drawn.
 
-    Ranks are numbered by ranges of the order, each sorted on its own, and the ranges'
-    sizes: one number a range comes to the driver. Rows that are equal in all that
-    orders them may lie in several ranges, so that none grows with a group of them.
+    Ranks come from ranges of the order, each sorted on its own. Rows of equal scores and
+    ids may lie in several ranges, so that none grows with a group of them.
     """
     space = Workspace(docs.sparkSession, "resample")
     rows = weigh(docs, gains(docs, target, text), key, text)
     rows = space.write(rows.withColumn("score", F.col("weight") + F.expr(gumbel_sql(key, seed))).withColumn("place", F.monotonically_increasing_id()), "scored")
     can = rows.where(F.col("n_words") >= least_words)
     drawn = percent * can.count() // 100
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("score").desc(), F.col(f"`{key}`").asc_nulls_last(), F.col("place").asc()]
-    # The number of a range and the place in it, as Spark counts on in sorted partitions.
-    numbered = can.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    numbered = space.write(numbered, "sorted")
-    starts, before = [], 0
-    for k, n in sorted(numbered.groupBy(F.shiftright("at", 33).alias("range")).count().collect()):
-        starts.append((k, before))
-        before += n
-    starts = F.broadcast(docs.sparkSession.createDataFrame(starts, "range bigint, start bigint"))
-    numbered = numbered.join(starts, F.shiftright("at", 33) == F.col("range"))
-    rank = F.expr(f"start + (at & {(1 << 33) - 1}L) + 1")
+    can = numbered(can, order, space)
     names = [F.col(f"`{key}`"), "n_words", "n_features", "weight", "score"]
-    ranked = numbered.select(*names, F.when(rank <= drawn, rank).alias("rank"))
+    ranked = can.select(*names, F.when(F.col("rank") < drawn, F.col("rank") + 1).alias("rank"))
     return ranked.union(rows.where(F.col("n_words") < least_words).select(*names, F.lit(None).cast("bigint").alias("rank")))
