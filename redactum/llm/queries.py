@@ -127,7 +127,7 @@ FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 _OP2 = """
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM d GROUP BY source),
 v AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM t),
 f AS (SELECT *, sum(s) OVER () * CAST(1.5 AS DOUBLE) - coalesce(sum(2 * s) OVER o, 0) AS ls, CAST(sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS BIGINT) AS lw
@@ -136,7 +136,7 @@ g AS (SELECT *, CAST(ls AS DOUBLE) * w / lw >= 2 * s AS capped FROM f),
 h AS (SELECT CAST(arg_max(ls, lw) AS DOUBLE) AS ls, max(lw) AS lw FROM g WHERE NOT capped),
 r AS (SELECT source, s, CASE WHEN s = 0 THEN 0 WHEN capped OR h.lw IS NULL THEN CAST(2 * s AS DOUBLE) ELSE h.ls * w / h.lw END AS target FROM g, h),
 c AS (SELECT d.doc_id, d.size, r.s, r.target, CASE WHEN r.s > 0 THEN r.target / r.s ELSE 0 END AS rate,
-             CAST('0x' || substr(md5('SEED:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
+             CAST('0x' || substr(md5('SEED:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || md5(coalesce(d.text, ''))), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, s AS source_size, target, size * CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM c
 """.replace("SEED", mixing.SEED)

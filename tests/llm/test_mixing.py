@@ -36,6 +36,24 @@ def test_copies_follow_the_rate_and_reruns_agree(spark):
     assert m.mix(df).count() == plan.agg(F.sum("copies")).first()[0]
 
 
+@pytest.mark.parametrize("key", ["null", "1", "id"])
+def test_targets_are_met_whatever_the_ids(spark, key):
+    """Rows that share an id, or have none, draw apart by their texts: each source within five standard errors of its target."""
+    df = spark.range(12_000).selectExpr(f"CAST({key if key != 'id' else 'id'} AS BIGINT) AS doc_id", "concat('one two three ', id) AS text", "concat('s', id % 5) AS source")
+    plan = m.plan_mix(df)
+    rows = plan.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.sum("size").alias("n")).collect()
+    for r in rows:
+        part = r.target / r.n % 1
+        assert abs(r.taken - r.target) <= 5 * 4 * (2400 * part * (1 - part)) ** 0.5 + 1
+    assert sorted(plan.collect(), key=str) == sorted(m.plan_mix(df.repartition(3)).select(plan.columns).collect(), key=str)
+
+
+def test_levels_of_many_sources(spark):
+    sizes = {f"s{i:03}": i * i % 97 + (10_000 if i % 50 == 0 else 0) for i in range(300)} | {None: 3}
+    got = {r.source: r.target for r in m.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+    assert got == pytest.approx(level(sizes))
+
+
 def test_awkward(awkward, empty):
     got = m.plan_mix(awkward).collect()
     assert len(got) == awkward.count() and {r.size for r in got if r.doc_id in (3, 4, 5)} == {0}
