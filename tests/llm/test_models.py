@@ -34,10 +34,49 @@ def test_negative_risk_is_not_followed():
     assert model.score(x(2, 200)).mean() > 0.8 and model.score(x(-2, 200)).mean() < 0.2
 
 
+def test_prior_counts_rows_of_one_score_at_once():
+    r = np.random.default_rng(4)
+    p, u = r.normal(2, 1, 500).round(1), np.concatenate([r.normal(2, 1, 900), r.normal(-2, 1, 600)]).round(1)
+    assert quality.estimate_prior(p, u) == pytest.approx(quality.estimate_prior(p, *(x.astype(float) for x in np.unique(u, return_counts=True))))
+
+
+@pytest.mark.parametrize("prior,followed", [(0.3, 1), (0.95, -1), (None, 1)])
+def test_risk_and_slope_by_definition(prior, followed):
+    """The risk from its terms, row by row; its slope from differences. Above a prior that is too large it is climbed."""
+    r = np.random.default_rng(7)
+    bp, bu = r.integers(0, 3, (6, 2)) + [0, 3], r.integers(0, 3, (9, 2)) + [0, 3]
+    bu[:4] = bp[:4]
+    w = r.normal(1, 0.5, 7)
+    share = lambda row, w: 1 / (1 + math.exp(-(sum(w[i] for i in row) + w[6])))
+
+    def terms(w):
+        positive = sum(-math.log(share(b, w)) for b in bp) / len(bp)
+        as_negative = sum(-math.log(1 - share(b, w)) for b in bp) / len(bp)
+        unlabelled = sum(-math.log(1 - share(b, w)) for b in bu) / len(bu)
+        return (positive, unlabelled) if prior is None else (prior * positive, unlabelled - prior * as_negative)
+
+    positive, negative, slope = quality.risk(w, bp, bu, prior)
+    assert (positive, negative) == pytest.approx(terms(w)) and (negative >= 0) == (followed > 0)
+    of = (lambda w: sum(terms(w))) if followed > 0 else (lambda w: -terms(w)[1])
+    for i, e in enumerate(np.eye(7) * 1e-6):
+        assert slope[i] == pytest.approx((of(w + e) - of(w - e)) / 2e-6, abs=1e-6)
+
+
+def test_prior_and_edges_come_from_all_rows(spark, monkeypatch):
+    """However few rows the fit reads, what it is told of the corpus does not change."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda p, u, edges, prior: seen.append((len(u), edges, prior)))
+    docs = spark.createDataFrame([(i, ("good text number. " if i % 10 < 6 else "JUNK!! ### ") * (1 + i % 7)) for i in range(3000)], "doc_id long, text string")
+    for most in (500, 3000):
+        quality.train(docs, docs.where("doc_id % 10 < 2").select("doc_id"), unlabelled_rows=most)
+    (few, a, x), (many, b, y) = seen
+    assert few < 700 < many and (a == b).all() and x == pytest.approx(0.6, abs=0.05) and y == pytest.approx(0.6, abs=0.05)
+
+
 def test_quality_rows_are_bounded_whatever_their_keys(spark, monkeypatch):
     rows = [(7, f"good text number {i}.") for i in range(4000)] + [(None, f"null {i}") for i in range(4000)] + [(8, "the same row")] * 4000
     seen = []
-    monkeypatch.setattr(quality, "fit", lambda p, u: seen.append((len(p), len(u))))
+    monkeypatch.setattr(quality, "fit", lambda p, u, *_: seen.append((len(p), len(u))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     quality.train(docs, spark.createDataFrame([(7,), (8,)], "doc_id long"), positive_rows=200, unlabelled_rows=300)
     ((p, u),) = seen
