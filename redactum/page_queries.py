@@ -1,13 +1,16 @@
-"""Queries over words and their places in the given documents: entities of a model's tokens, boxes of spans."""
+"""Queries over words and their places in the given documents (entities of a model's tokens, boxes of spans), and over verdicts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redactum.functions.rules import RULES
 from redactum.functions.sql import let, running
+from redactum.operators.compliance import HEALTH, concern_sql, severity_sql
 from redactum.operators.model_spans import TOKEN, token_spans
-from redactum.queries import Query, _table
+from redactum.plans.pipeline import screen
+from redactum.queries import Query, _duck, _re2, _table
 from redactum.sources.pages import redaction_boxes
 
 #: The words of a text between single blanks, and where each starts.
@@ -62,9 +65,40 @@ SELECT doc_id, start, stop, page, round(x0 * CAST(0.36 AS DOUBLE), 6) AS x, roun
 """
 
 
+# Texts of pieces that a bit of the key puts in; both engines read this SQL.
+_PIECES = {
+    "EMAIL": "'Write to u' || CAST({k} AS VARCHAR(20)) || '@mail.example.com or v' || CAST({k} AS VARCHAR(20)) || '@mail.example.com. '", "SSN": "'SSN 123-45-' || lpad(CAST({k} % 10000 AS VARCHAR(20)), 4, '0') || ' here. '",
+    "DATE": "'On 2024-0' || CAST({k} % 9 + 1 AS VARCHAR(20)) || '-1' || CAST({k} % 10 AS VARCHAR(20)) || ' it rained. '", "health": "'The patient slept. '", "RARE_DISEASE_ICD": "'Code E75.2 noted. '", "none": "'No more. '",
+}
+_MIXED = " || ".join(f"CASE WHEN {{k}} // {1 << i} % 2 = 1 THEN {x} ELSE '' END" for i, x in enumerate(_PIECES.values()))
+
+
+def compliance_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts and findings of texts that hold any of five kinds of information, or none."""
+    df = _table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{_MIXED.format(k='o_orderkey').replace('//', 'DIV')} AS text")
+    c = screen(df, "US").select("id", "compliance.*")
+    found = F.expr("array_join(transform(findings, f -> concat_ws(':', f.label, f.count, f.severity, f.concern, array_join(f.values, '+'))), ';')")
+    return c.select("id", "verdict", F.col("ai_upload.safe").alias("safe"), "health_data", "primary_action", found.alias("findings"), F.size("notes").cast("bigint").alias("notes"))
+
+
+def _compliance_sql() -> str:
+    rule = {r.label: _duck(_re2(r)) for r in RULES if r.label in ("EMAIL", "SSN", "DATE", "RARE_DISEASE_ICD")}
+    values = ", ".join(f"regexp_extract_all(text, {rule[x]}) AS {x.lower()}" for x in rule)
+    one = " UNION ALL ".join(f"SELECT id, '{x}' AS label, {x.lower()} AS v, strpos(text, {x.lower()}[1]) AS place FROM v WHERE len({x.lower()}) > 0" for x in rule)
+    level = severity_sql("label")
+    return f"""
+WITH t AS (SELECT o_orderkey AS id, {_MIXED.format(k='o_orderkey')} AS text FROM orders),
+v AS (SELECT id, text, {values}, regexp_matches(lower(text), {_duck(HEALTH)}) OR regexp_matches(text, 'E75') AS health FROM t),
+f AS (SELECT id, label, v, place, {level} AS severity, {concern_sql('label', 'US')} AS concern FROM ({one})),
+j AS (SELECT id, string_agg(label || ':' || len(v) || ':' || severity || ':' || concern || ':' || array_to_string(v, '+'), ';' ORDER BY CASE severity WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, label = 'RARE_DISEASE_ICD', place) AS findings, bool_or(label = 'RARE_DISEASE_ICD') AS rare, bool_or(label <> 'RARE_DISEASE_ICD') AS direct FROM f GROUP BY id),
+w AS (SELECT v.id, health, coalesce(findings, '') AS findings, CASE WHEN findings IS NULL AND NOT health THEN 'SAFE' WHEN rare OR (health AND coalesce(direct, false)) THEN 'DO_NOT_UPLOAD' ELSE 'NEEDS_DEIDENTIFICATION' END AS verdict FROM v LEFT JOIN j USING (id))
+SELECT id, verdict, verdict = 'SAFE' AS safe, health AS health_data, CASE verdict WHEN 'SAFE' THEN 'NONE' ELSE 'ANONYMISE' END AS primary_action, findings, CAST(2 + health::INT + (verdict <> 'SAFE')::INT AS BIGINT) AS notes FROM w
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (model_tokens, word_boxes)}
+    return {f.__name__: f for f in (model_tokens, word_boxes, compliance_mixed)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"model_tokens": _TOKENS_SQL, "word_boxes": _BOXES_SQL}
+    return {"model_tokens": _TOKENS_SQL, "word_boxes": _BOXES_SQL, "compliance_mixed": _compliance_sql()}
