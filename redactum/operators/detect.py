@@ -141,6 +141,23 @@ def run_rules(df: DataFrame, text: str = "text", out: str = "rule_spans", catalo
     return held(df, {out: F.expr(f"IF(clean_ = text_, found_, {own})")}).drop("text_", "clean_", "low_", "has_digit_", "cut_", "hits_", "found_")
 
 
+def detection_sql(text: str, catalogue: Mapping[str, str] | None = None, labels: Sequence[str] | None = None) -> str:
+    """SQL for the merged spans of a text as one expression, for surfaces that have no columns to build on.
+
+    The same builders as in ``run_rules``; each step has a name of its own, in a lambda.
+    """
+    rules = [r for r in RULES if labels is None or r.label in labels]
+    cut_up = ", ".join(f"IF({_gate(r, 'low_')}, {parts_sql('clean_', r.java, r.groups)}, CAST(array() AS array<string>))" for r in rules)
+    every = ", ".join(rule_sql(r, f"hits_[{i}]", catalogue) for i, r in enumerate(rules))
+    as_it_was = "named_struct(" + ", ".join(f"'{f}', {cut('pieces_', 's.start', 's.end') if f == 'text' else f's.{f}'}" for f in SPAN_FIELDS) + ")"
+    own = let(pieces("text_"), "pieces_", f"transform(found_, s -> CAST({as_it_was} AS {SPAN}))")
+    spans = let(f"flatten(array({every}))", "found_", f"IF(clean_ = text_, found_, {own})")
+    spans = let(f"array({cut_up})", "cut_", let(f"transform(cut_, x -> {hits_sql('x')})", "hits_", spans))
+    spans = let("lower(clean_)", "low_", let("clean_ RLIKE '[0-9]'", "has_digit_", spans))
+    whole = let(f"coalesce({text}, '')", "text_", let(_clean("text_"), "clean_", spans))
+    return let(whole, "raw_", merge_sql("raw_"))
+
+
 def merge_sql(spans: str) -> str:
     """Overlapping spans as one: the union's extent, the winner's other fields, no capture.
 

@@ -10,6 +10,7 @@ from redactum.functions.sql import let, running
 from redactum.operators.compliance import HEALTH, concern_sql, severity_sql
 from redactum.operators.model_spans import TOKEN, token_spans
 from redactum.plans.pipeline import screen
+from redactum.plans.sql_functions import register
 from redactum.queries import Query, _duck, _re2, _table
 from redactum.sources.pages import redaction_boxes
 
@@ -96,9 +97,16 @@ SELECT id, verdict, verdict = 'SAFE' AS safe, health AS health_data, CASE verdic
 """
 
 
+def sql_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of documents by the session's table function, from SQL alone."""
+    register(spark, None, ["EMAIL"], "mail_")
+    _table(spark, sf_dir, "documents").createOrReplaceTempView("redactum_documents")
+    return spark.sql("SELECT d.doc_id, x.label, x.text AS value, count(*) AS n FROM redactum_documents AS d, LATERAL mail_detected(d.text) AS x GROUP BY ALL")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (model_tokens, word_boxes, compliance_mixed)}
+    return {f.__name__: f for f in (model_tokens, word_boxes, compliance_mixed, sql_detection)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"model_tokens": _TOKENS_SQL, "word_boxes": _BOXES_SQL, "compliance_mixed": _compliance_sql()}
+    return {"model_tokens": _TOKENS_SQL, "word_boxes": _BOXES_SQL, "compliance_mixed": _compliance_sql(), "sql_detection": f"SELECT doc_id, label, value, count(*) AS n FROM (SELECT doc_id, 'EMAIL' AS label, unnest(regexp_extract_all(text, {_duck(_re2(next(r for r in RULES if r.label == 'EMAIL')))})) AS value FROM documents) GROUP BY ALL"}
