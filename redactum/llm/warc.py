@@ -14,6 +14,7 @@ import base64
 import hashlib
 import json
 import posixpath
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,7 +48,9 @@ def record_name(page_id: int | None, archive: str, seq: int) -> str:
 def page_of(name: str | None) -> int | None:
     """The page in a record's name; null if it has none or the name is not one of ours."""
     parts = (name or "").strip("<>").split(":")
-    return int(parts[2]) if parts[:2] == ["urn", "page"] and len(parts) == 5 and parts[2] != "none" else None
+    ours = parts[:2] == ["urn", "page"] and len(parts) == 5 and re.fullmatch(r"-?[0-9]{1,19}", parts[2])
+    page = int(parts[2]) if ours else 0
+    return page if ours and -(1 << 63) <= page < 1 << 63 else None
 
 
 class Headers(list):
@@ -299,13 +302,32 @@ def rewritten(headers: Headers, block: bytes, refers_to: str | None) -> tuple[by
     return record(kept, block[: block.index(b"\r\n\r\n") + 4]), "revisit"
 
 
+def _read_back(member: bytes, told: str | None) -> tuple | None:
+    """The fields of one record; None for a type that has no payload of a page."""
+    headers, block = next(parse_records(iter([zlib.decompress(member, 31)])))
+    kind = headers.first("WARC-Type")
+    if kind not in ("response", "revisit"):
+        return None
+    at = block.find(b"\r\n\r\n")
+    http = Headers.of(block[: max(at, 0)].decode("utf-8", "surrogateescape").split("\r\n")[1:])
+    length = http.first("Content-Length")
+    payload = payload_of(headers, block)
+    digest = (told or "").removeprefix("sha1:") or None
+    plain = (told or "").startswith("sha1:") and not http.first("Transfer-Encoding")
+    size = len(payload) if kind == "response" else int(length) if length and length.isdigit() else None
+    error = "the digest does not hold" if kind == "response" and plain and digest_of(payload) != digest else None
+    return page_of(headers.first("WARC-Record-ID")), size, digest, kind, page_of(headers.first("WARC-Refers-To")), error
+
+
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     """Reads the records back through the index, one member at a time, and checks every
     SHA-1 digest of a payload that stands as it is.
 
-    Returns page_id, payload_bytes, payload_digest, record_type, refers_to for responses
-    and revisits; records of other types have no payload of a page. page_id and refers_to
-    are null where a name is not one of ours, payload_bytes where a revisit tells no length.
+    Returns page_id, payload_bytes, payload_digest, record_type, refers_to, error for
+    responses and revisits; records of other types have no payload of a page. page_id and
+    refers_to are null where a name is not one of ours, payload_bytes where a revisit tells
+    no length. A digest that does not hold, and a member that cannot be read, are an
+    ``error`` of that record alone.
     """
 
     def run(batches):
@@ -314,29 +336,19 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
             for archive in b.column(0).to_pylist():
                 with where.open_input_stream(f"{inner}/{archive}.idx") as f:
                     index = [json.loads(x) for x in f.read().decode().splitlines()]
-                rows = ([], [], [], [], [])
+                rows = ([], [], [], [], [], [])
                 with where.open_input_file(f"{inner}/{archive}.warc.gz") as file:
                     for x in index:
                         file.seek(x["offset"])
-                        headers, block = next(parse_records(iter([zlib.decompress(file.read(x["length"]), 31)])))
-                        kind = headers.first("WARC-Type")
-                        if kind not in ("response", "revisit"):
-                            continue
-                        at = block.find(b"\r\n\r\n")
-                        http = Headers.of(block[: max(at, 0)].decode("utf-8", "surrogateescape").split("\r\n")[1:])
-                        length = http.first("Content-Length")
-                        payload = payload_of(headers, block)
-                        digest = (x["digest"] or "").removeprefix("sha1:") or None
-                        told = (x["digest"] or "").startswith("sha1:") and not http.first("Transfer-Encoding")
-                        if kind == "response" and told and digest_of(payload) != digest:
-                            raise ValueError(f"a digest does not hold in {archive} at {x['offset']}")
-                        size = len(payload) if kind == "response" else int(length) if length and length.isdigit() else None
-                        ref = headers.first("WARC-Refers-To")
-                        for col, v in zip(rows, (page_of(headers.first("WARC-Record-ID")), size, digest, kind, page_of(ref)), strict=True):
+                        try:
+                            found = _read_back(file.read(x["length"]), x["digest"])
+                        except (ValueError, zlib.error, StopIteration) as e:
+                            found = (None, None, None, None, None, f"{archive} at {x['offset']}: {e}")
+                        for col, v in zip(rows, found or (), strict=False):
                             col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error"])
 
-    return archives.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return archives.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, error string")
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, least: int = LEAST_BYTES, level: int = LEVEL, keep_monolithic: bool = False, **columns) -> DataFrame:
@@ -360,4 +372,6 @@ def archive_pages(pages: DataFrame, folder: str | None = None, least: int = LEAS
     done.write.mode("overwrite").parquet(f"{folder}/manifest")
     if not keep_monolithic:
         delete(spark, f"{folder}/monolithic")
-    return read_archives(done.repartition(parts), folder)
+    # What was written here reads back as it was, or the run fails.
+    back = read_archives(done.repartition(parts), folder)
+    return back.withColumn("page_id", F.expr("IF(error IS NULL, page_id, raise_error(error))")).drop("error")

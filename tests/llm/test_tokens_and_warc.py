@@ -134,3 +134,15 @@ def test_foreign_archives(spark, tmp_path):
         assert after[1][0].without("content-length").count(("WARC-Concurrent-To", "<b>")) == 1 and after[2][0].first("warc-target-uri") == "http://x/ y"
     read = warc.read_archives(spark.createDataFrame([(got["whole"].archive,)], "archive string"), out).collect()
     assert [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read] == [(None, 5, digest("hello"), "response", None)]
+
+
+def test_a_digest_that_fails_is_an_error_of_its_record(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    one = lambda name, told, body: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {name}\r\nContent-Type: application/http;msgtype=response\r\nWARC-Payload-Digest: sha1:{told}\r\nContent-Length: {len(http) + len(body)}\r\n\r\n".encode() + http + body + b"\r\n\r\n"
+    data = one("<urn:page:x:y:1>", digest("good"), b"good") + one("<urn:page:7:y:1>", digest("other"), b"bad") + one("<urn:page:99999999999999999999:y:1>", digest("more"), b"more")
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(data))
+    out = f"file://{tmp_path}/out"
+    (made,) = warc.normalise_files(spark.createDataFrame([(f"{tmp_path}/a.warc.gz",)], "path string"), out).collect()
+    read = warc.read_archives(spark.createDataFrame([(made.archive,)], "archive string"), out).collect()
+    assert [(r.page_id, r.payload_bytes, r.error) for r in read] == [(None, 4, None), (7, 3, "the digest does not hold"), (None, 4, None)]
+    assert [warc.page_of(x) for x in ("<urn:page:5:a:1>", "<urn:page:none:a:1>", "<urn:page:-3:a:1>", "<urn:page:x:y:1>", "<urn:page:5:a>", None, "")] == [5, None, -3, None, None, None, None]
