@@ -270,8 +270,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     left = left.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), F.col("rep").alias("node"), "comp")
     blocks = left.join(full, "node").select("k", "i", "j", "side", "node", "comp", "sig", "items")
     second = space.write(_edges_of(blocks, 3, verifier), "links")
-    joined = first.union(second)
-    labels = connected_components(spark, joined, space)
+    space.drop(shared, members, stars, nodes, full, parts, found, labelled, open_)
+    labels = connected_components(spark, first.union(second), space)
+    space.drop(first, second)
 
     owners = classes.select("h1", "h2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = base.select("id", "h1", "h2", "n").join(owners, ["h1", "h2"], "left")
