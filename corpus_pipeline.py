@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All
 but the last return the columns of ``documents``; the last adds ``copy``. ``run``
-writes each stage's rows to the shared folder and reads them again for the next.
+writes each stage's rows to the shared folder, reads them again for the next and drops
+them once that has written its own.
 
 Any column of a row may be null, texts may be empty or very long, rows may be repeated
 and tables empty; what happens to such rows is said with each stage. An empty table
@@ -76,7 +77,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A source of null is one source, the last. A source without words takes nothing, so
     its documents go; null and empty texts of other sources are repeated at their
-    source's rate. Rows of one id share a draw.
+    source's rate. Rows equal in id and text share a draw.
     """
     ship_package(spark)
     return mixing.mix(docs).select(*COLUMNS, "copy")
@@ -97,6 +98,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(*COLUMNS)
     space = Workspace(spark, "pipeline")
-    for name, stage in STAGES:
-        docs = space.write(stage(spark, docs, sf_dir), name.split()[0].lower())
+    for i, (name, stage) in enumerate(STAGES):
+        before, docs = docs, space.write(stage(spark, docs, sf_dir), name.split()[0].lower())
+        if i:
+            space.drop(before)
     return docs
