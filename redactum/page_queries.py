@@ -9,10 +9,12 @@ from redactum.functions.rules import RULES
 from redactum.functions.sql import let, running
 from redactum.operators.compliance import HEALTH, concern_sql, severity_sql
 from redactum.operators.model_spans import TOKEN, token_spans
+from redactum.operators.registry import extended, named, token_hashes
 from redactum.plans.pipeline import screen
 from redactum.plans.sql_functions import register
-from redactum.queries import Query, _duck, _re2, _table
+from redactum.queries import SECRET, Query, _duck, _pads, _re2, _table
 from redactum.sources.pages import redaction_boxes
+from redactum.workspace import Workspace
 
 #: The words of a text between single blanks, and where each starts.
 _PLACES = let("transform(w, x -> length(x) + 1)", "n_", let(running("n_", "p + q"), "e_", "transform(w, (x, i) -> struct(x AS word, e_[i] - n_[i] AS at, i AS no))"))
@@ -104,9 +106,35 @@ def sql_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT d.doc_id, x.label, x.text AS value, count(*) AS n FROM redactum_documents AS d, LATERAL mail_detected(d.text) AS x GROUP BY ALL")
 
 
+_DIGITS = 2
+
+
+def pseudonym_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudonyms of all names and segments, as few digits as tell them apart: odd keys first, the others as a later batch."""
+    tokens = _table(spark, sf_dir, "customer").selectExpr("c_custkey", "stack(2, 'NAME', c_name, 'MRN', c_mktsegment) AS (label, value)")
+    space = Workspace(spark, "registry")
+    first = space.write(extended(token_hashes(tokens.where("c_custkey % 2 = 1"), SECRET), None, _DIGITS), "first")
+    hashes = space.write(token_hashes(tokens, SECRET), "hashes")
+    known = space.write(extended(hashes, first, _DIGITS), "known")
+    return named(hashes, known).select("label", "value", "pseudonym")
+
+
+def _registry_sql() -> str:
+    inner, outer = _pads()
+    common = lambda other: f"coalesce(list_min(list_filter(range(1, 65), lambda i: substr(h, 1, i) <> substr({other}, 1, i))) - 1, 0)"
+    near = f"""SELECT *, lag(h) OVER o AS a, lead(h) OVER o AS b FROM {{0}} WINDOW o AS (PARTITION BY label ORDER BY h)"""
+    width = f"greatest({_DIGITS}, {common('a')} + 1, {common('b')} + 1)"
+    return f"""
+WITH t AS (SELECT 'NAME' AS label, c_name AS value, c_custkey % 2 = 1 AS early FROM customer UNION ALL SELECT 'MRN', c_mktsegment, c_custkey % 2 = 1 FROM customer),
+d AS (SELECT label, value, bool_or(early) AS early, sha256('{outer}'::BLOB || unhex(sha256('{inner}'::BLOB || encode(label || ':' || value)))) AS h FROM t GROUP BY label, value),
+e AS (SELECT * FROM d WHERE early), f AS (SELECT label, h, {width} AS w FROM ({near.format('e')})), g AS (SELECT label, value, h, early, {width} AS w FROM ({near.format('d')}))
+SELECT g.label, g.value, '[' || g.label || '-' || upper(substr(g.h, 1, CAST(coalesce(f.w, g.w) AS INT))) || ']' AS pseudonym FROM g LEFT JOIN f ON f.label = g.label AND f.h = g.h
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (model_tokens, word_boxes, compliance_mixed, sql_detection)}
+    return {f.__name__: f for f in (model_tokens, word_boxes, compliance_mixed, sql_detection, pseudonym_registry)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"model_tokens": _TOKENS_SQL, "word_boxes": _BOXES_SQL, "compliance_mixed": _compliance_sql(), "sql_detection": f"SELECT doc_id, label, value, count(*) AS n FROM (SELECT doc_id, 'EMAIL' AS label, unnest(regexp_extract_all(text, {_duck(_re2(next(r for r in RULES if r.label == 'EMAIL')))})) AS value FROM documents) GROUP BY ALL"}
+    return {"model_tokens": _TOKENS_SQL, "word_boxes": _BOXES_SQL, "compliance_mixed": _compliance_sql(), "pseudonym_registry": _registry_sql(), "sql_detection": f"SELECT doc_id, label, value, count(*) AS n FROM (SELECT doc_id, 'EMAIL' AS label, unnest(regexp_extract_all(text, {_duck(_re2(next(r for r in RULES if r.label == 'EMAIL')))})) AS value FROM documents) GROUP BY ALL"}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactum.functions.sql import lit
@@ -14,6 +14,29 @@ PER_MILLION = {
 FLAG_LIMIT, AUTO_LIMIT = 100.0, 10.0
 
 
+_ALIGNED = "OrphaCode STRING, ExternalReferenceList STRUCT<ExternalReference: ARRAY<STRUCT<Source: STRING, Reference: STRING>>>"
+_PREVALENT = "OrphaCode STRING, PrevalenceList STRUCT<Prevalence: ARRAY<STRUCT<PrevalenceClass: STRUCT<Name: STRING>>>>"
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The disorders of XML files: read as text that ends at each element's end, which Spark
+    splits as it does lines, and parsed one by one."""
+    parts = spark.read.option("lineSep", "</Disorder>").text(path).select(F.regexp_extract("value", r"(?s)<Disorder[\s>].*$", 0).alias("element")).where("element <> ''")
+    return parts.select(F.from_xml(F.concat("element", F.lit("</Disorder>")), schema, {"rowTag": "Disorder"}).alias("d")).select("d.*").where("OrphaCode IS NOT NULL")
+
+
+def read_alignments(spark: SparkSession, path: str) -> DataFrame:
+    """(orpha, icd10) pairs of the published alignment files, read in ranges, an element at a time."""
+    refs = _read(spark, path, _ALIGNED).select(F.col("OrphaCode").alias("orpha"), F.explode("ExternalReferenceList.ExternalReference").alias("r"))
+    return refs.where("trim(r.Source) = 'ICD-10'").select("orpha", F.trim("r.Reference").alias("icd10")).where("icd10 <> ''")
+
+
+def read_prevalences(spark: SparkSession, path: str) -> DataFrame:
+    """(orpha, class) pairs of the published prevalence files, read as the alignments are."""
+    refs = _read(spark, path, _PREVALENT).select(F.col("OrphaCode").alias("orpha"), F.explode("PrevalenceList.Prevalence").alias("p"))
+    return refs.select("orpha", F.trim("p.PrevalenceClass.Name").alias("class")).where("class <> ''")
+
+
 def disorders(xml: DataFrame, column: str = "value") -> DataFrame:
     """(disorder): the text of each disorder element of XML documents."""
     return xml.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(r"(?s)<Disorder[^>]*>.*?</Disorder>"), F.lit(0))).alias("disorder"))
