@@ -188,7 +188,8 @@ def embedding_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str =
     double precision is at least ``threshold``. Rows with a null key or label, and
     vectors that are null, empty, zero or hold null or non-finite components, link with
     nothing: n_links 0 and their own key as component_id. n_links counts other rows,
-    repeated rows included. Rows that share a key are one node of the graph.
+    repeated rows included. Rows that share a key are one node of the graph. Keys and
+    labels are whole numbers: one that is none fails the cast, and the run.
     """
     spark = vectors.sparkSession
     space = Workspace(spark, "embeddings")

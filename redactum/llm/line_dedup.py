@@ -172,8 +172,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near_w
     from ``near_words`` words on, a line within one word edit stands earlier, by key
     (null last), then by a hash of the text, then by place; also if that earlier line
     goes itself. n_near counts lines that go for a line that is not equal. Null texts
-    stay null. Rows equal in key and text are treated alike. Columns of ``docs`` with
-    the added names are replaced.
+    stay null. Rows equal in key and text are treated alike. Keys are whole numbers: one
+    that is none fails the cast, and the run. Columns of ``docs`` with the added names
+    are replaced.
     """
     if near_words < 2 * ENDS:
         raise ValueError(f"near_words must be {2 * ENDS} at least")

@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     is one shingle). component_id is the smallest key that links reach. Null and empty
     texts have no shingles and link with nothing. Rows that share a key are one node of
     the graph. A null key never is a representative: its row gets the component of its
-    class if another row of equal set has a key, else null; it is kept if null.
+    class if another row of equal set has a key, else null; it is kept if null. Keys are
+    whole numbers: one that is none fails the cast, and the run.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "minhash")
