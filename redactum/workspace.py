@@ -15,8 +15,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is ``spark.checkpoint.dir`` where the session names one. Where it is unset a
-    local session gets a temporary folder; any other session has to name one, as no
-    folder of one machine would do.
+    local session gets a temporary folder, and so does ``local-cluster``, whose executors
+    run on the same machine; any other session has to name one, as no folder of one
+    machine would do.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
