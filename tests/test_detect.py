@@ -1,5 +1,4 @@
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
