@@ -42,7 +42,15 @@ _HEADED = re.compile(rf"-----BEGIN ([A-Z0-9 ]*KEY)-----{_LINE}((?:[A-Za-z][A-Za-
 _LONG64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40,}(?:[\x20\t]*(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*[A-Za-z0-9+/]{4,})*={0,2}")
 _LONGURL = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9_-]{40,}={0,2}(?![A-Za-z0-9+/_-])")
 _LONGHEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){40,}")
-_JSON_KEY = re.compile(r'"(?:kty|payload)"[\x20\t\r\n]*:')
+# JSON as the standard library reads it. An item is a value without parts and what follows it, or what has parts.
+_JSON_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})[^"\\\x00-\x1f]*+)*+"'
+_JSON_SPACE = r"[\x20\t\r\n]*+"
+_JSON_VALUE = rf"(?:(?P<plain>{_JSON_STRING}|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|NaN|-?Infinity){_JSON_SPACE}(?P<then>[,\]}}])|(?P<parts>[\[{{]))"
+_JSON_ELEMENT = re.compile(_JSON_SPACE + _JSON_VALUE)
+_JSON_MEMBER = re.compile(rf"{_JSON_SPACE}(?P<name>{_JSON_STRING}){_JSON_SPACE}:{_JSON_SPACE}{_JSON_VALUE}")
+_JSON_BLANKS = re.compile(_JSON_SPACE)
+_JSON_THEN = re.compile(_JSON_SPACE + r"(?P<then>[,\]}])")
+_JSON_OPEN = re.compile(r"[\[{]")
 # A JSON object, with or without blanks after its brace, starts with ey or ew.
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _BREAK = r"[\x20\t]*(?:(?:\r|\\+r)?(?:\n|\\+n))[\x20\t]*"
@@ -76,20 +84,19 @@ def der_items(data: bytes, start: int, end: int) -> Iterator[tuple[int, int, int
     return out
 
 
-def _filled(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The items of data[start:end], or None if they, or the sequences and sets among them, do not fill it."""
-    top = der_items(data, start, end)
-    todo = [(x, 0) for x in top or ()]
+def _filled(data: bytes, todo: list[tuple[int, int, int]]) -> bool:
+    """Whether the sequences and sets among the items, and all inside of them, are filled exactly."""
+    todo = list(todo)
     while todo:
-        (tag, a, b), level = todo.pop()
+        tag, a, b = todo.pop()
         if tag & 0x20:
             items = der_items(data, a, b)
-            if items is None or level > 16:
-                return None
-            todo += [(x, level + 1) for x in items]
+            if items is None:
+                return False
+            todo += items
         elif tag == 0x02 and a == b:
-            return None
-    return top
+            return False
+    return True
 
 
 def is_der_key(data: bytes) -> bool:
@@ -100,7 +107,7 @@ def is_der_key(data: bytes) -> bool:
     or SEC 1 (version 1 and octets, then tagged fields only). Public keys and
     certificates are none.
     """
-    top = _filled(data, 0, len(data))
+    top = der_items(data, 0, len(data))
     if not top or len(top) != 1 or top[0][0] != 0x30 or len(data) < 32:
         return False
     fields = der_items(data, top[0][1], top[0][2]) or []
@@ -112,12 +119,14 @@ def is_der_key(data: bytes) -> bool:
         return bool(items) and items[0][0] == 0x06 and items[0][2] > items[0][1]
 
     if tags[:3] == b"\x02\x30\x04" and version in (0, 1):
-        return algorithm(1) and set(tags[3:]) <= {0xA0, 0x80, 0xA1, 0x81}
-    if tags == b"\x30\x04":
-        return algorithm(0)
-    if tags[:2] == b"\x02\x04" and version == 1:
-        return fields[1][2] - fields[1][1] >= 14 and set(tags[2:]) <= {0xA0, 0xA1}
-    return (tags == b"\x02" * 9 and version == 0) or (tags == b"\x02" * 9 + b"\x30" and version == 1) or (tags == b"\x02" * 6 and version == 0)
+        known = algorithm(1) and set(tags[3:]) <= {0xA0, 0x80, 0xA1, 0x81}
+    elif tags == b"\x30\x04":
+        known = algorithm(0)
+    elif tags[:2] == b"\x02\x04" and version == 1:
+        known = fields[1][2] - fields[1][1] >= 14 and set(tags[2:]) <= {0xA0, 0xA1}
+    else:
+        known = (tags == b"\x02" * 9 and version == 0) or (tags == b"\x02" * 9 + b"\x30" and version == 1) or (tags == b"\x02" * 6 and version == 0)
+    return known and _filled(data, top)
 
 
 def is_openssh(data: bytes) -> bool:
@@ -139,7 +148,7 @@ def is_openssh(data: bytes) -> bool:
     if at + 4 > len(data):
         return False
     keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-    if not 1 <= keys <= 64:
+    if keys < 1:
         return False
     for _ in range(keys + 1):
         at = field(at)
@@ -161,12 +170,24 @@ def _b64(s: str, url: bool = False) -> bytes | None:
 def _object(part: str) -> dict | None:
     data = _b64(part, url=True)
     try:
-        found = json.loads(data) if data else None
-    except (ValueError, RecursionError):
+        # Integers of any length: their values do not count.
+        found = json.loads(data, parse_int=float) if data else None
+    except RecursionError:
+        return _deep_object(data.decode(json.detect_encoding(data), "surrogatepass"))
+    except ValueError:
         return None
     return found if isinstance(found, dict) else None
 
 
+def _deep_object(text: str) -> dict | None:
+    """The fields of a text that is one JSON object, nested to any depth."""
+    ends, first = {}, _JSON_BLANKS.match(text).end()
+    for at, items in _json_objects(text, ends):
+        if at == first and _JSON_BLANKS.match(text, ends[at]).end() == len(text):
+            return _json_fields(text, items, ends)
+    return None
+
+
 def is_signed_token(header: str, body: str, signature: str = "c2ln") -> bool:
     """A header that names an algorithm, claims that are a JSON object (unless the header
     gives another type or an encryption) and a signature (unless the algorithm is none)."""
@@ -232,7 +253,7 @@ def _openssh_size(run: _Run, at: int) -> int:
         n, fields = n + 4 + size, fields - 1
         if not fields and not keys:
             keys = number(n)
-            if not 1 <= keys <= 64:
+            if keys < 1:
                 return 0
             n, fields = n + 4, keys + 1
     return n
@@ -307,30 +328,71 @@ def _is_json_token(found: dict) -> bool:
     return bool(signed) and all(ok(x) and is_signed_token(x["protected"], found["payload"], x["signature"]) for x in signed)
 
 
+def _json_items(text: str, at: int, ends: dict[int, int]) -> tuple[int, list[tuple[str, int, int]]] | None:
+    """End of the object or array at ``at`` and (name, start, end) of its items, names as written, or None.
+
+    ``ends`` has the ends of the objects and arrays behind ``at``.
+    """
+    named, items = text[at] == "{", []
+    item, close = (_JSON_MEMBER, "}") if named else (_JSON_ELEMENT, "]")
+    if (m := _JSON_THEN.match(text, at + 1)) and m["then"] == close:
+        return m.end(), items
+    at += 1
+    while m := item.match(text, at):
+        name, (start, end), then = m["name"] if named else "", m.span("plain"), m
+        if m["parts"]:
+            start = m.start("parts")
+            end = ends.get(start)
+            then = None if end is None else _JSON_THEN.match(text, end)
+            if not then:
+                return None
+        items.append((name, start, end))
+        if then["then"] != ",":
+            return (then.end(), items) if then["then"] == close else None
+        at = then.end()
+    return None
+
+
+def _json_objects(text: str, ends: dict[int, int]) -> Iterator[tuple[int, list[tuple[str, int, int]]]]:
+    """(start, items) of every JSON object in a text, the last one first; ``ends`` gets the ends of objects and arrays.
+
+    Each brace and bracket is tried once. What lies inside has been read by then and is
+    stepped over or ends the try, so that the work grows with the text, however deep or far.
+    """
+    for at in reversed([m.start() for m in _JSON_OPEN.finditer(text)]):
+        if read := _json_items(text, at, ends):
+            ends[at] = read[0]
+            if text[at] == "{":
+                yield at, read[1]
+
+
+def _json_fields(text: str, items: list[tuple[str, int, int]], ends: dict[int, int], listed: bool = True) -> dict:
+    """The strings among an object's items by name, and (``listed``) what its ``signatures`` list; None for other values."""
+    places = {json.loads(name) if "\\" in name else name[1:-1]: (a, b) for name, a, b in items}
+    found = {}
+    for name, (a, b) in places.items():
+        found[name] = json.loads(text[a:b]) if text[a] == '"' else None
+        if listed and name == "signatures" and text[a] == "[":
+            found[name] = [_json_fields(text, _json_items(text, x, ends)[1], ends, False) if text[x] == "{" else None for _, x, _ in _json_items(text, a, ends)[1]]
+    return found
+
+
 def _json_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of JSON objects that are private keys or signed tokens.
 
-    Of a member's place the braces before it are tried, the nearest ones first; an object
-    that is one is whole.
+    Every object is read; one inside of another that is one is part of it.
     """
-    out, reader, done = [], json.JSONDecoder(), 0
-    for m in _JSON_KEY.finditer(text):
-        if m.start() < done:
-            continue
-        at = m.start()
-        for _ in range(4):
-            at = text.rfind("{", max(done, m.start() - 65_536), at)
-            if at < 0:
-                break
-            try:
-                found, end = reader.raw_decode(text, at)
-            except (ValueError, RecursionError):
-                continue
-            kind = "jwk" if _is_jwk(found) else "signed_token" if _is_json_token(found) else None
+    ends, found, out, done = {}, [], [], 0
+    for at, items in _json_objects(text, ends):
+        if any(name in ('"kty"', '"payload"') or "\\" in name for name, _, _ in items):
+            fields = _json_fields(text, items, ends)
+            kind = "jwk" if _is_jwk(fields) else "signed_token" if _is_json_token(fields) else None
             if kind:
-                out.append((kind, at, end))
-                done = end
-                break
+                found.append((kind, at, ends[at]))
+    for x in reversed(found):
+        if x[2] > done:
+            out.append(x)
+            done = x[2]
     return out
 
 
