@@ -44,3 +44,8 @@ def test_every_label_occurs_in_a_query_with_an_oracle(con):
     for name in [*q._GROUPS, "rules_more"]:
         found |= {x[0] for x in con.execute(f"SELECT DISTINCT label FROM ({ORACLES[name]})").fetchall()}
     assert {r.label for r in RULES} <= found
+
+
+@pytest.mark.parametrize("name", ["pseudonymised_texts"])
+def test_texts_of_a_small_file_are_dealt_over_the_cores(spark, name):
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
