@@ -46,6 +46,6 @@ def test_every_label_occurs_in_a_query_with_an_oracle(con):
     assert {r.label for r in RULES} <= found
 
 
-@pytest.mark.parametrize("name", ["pseudonymised_texts"])
+@pytest.mark.parametrize("name", ["replaced_texts", "pseudonymised_texts"])
 def test_texts_of_a_small_file_are_dealt_over_the_cores(spark, name):
     assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
