@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from redactum import evidence, file_queries, page_queries
 from redactum import queries as q
@@ -49,3 +50,9 @@ def test_every_label_occurs_in_a_query_with_an_oracle(con):
 @pytest.mark.parametrize("name", ["replaced_texts", "pseudonymised_texts"])
 def test_texts_of_a_small_file_are_dealt_over_the_cores(spark, name):
     assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_files_are_made_no_longer_than_their_preview(spark):
+    keys = spark.sql("SELECT explode(array(0, 1, 2, 408, 409, 410, 411, 4094, 4095, 4096, 4097, 4098, 200000, 200001, 200002)) AS c_custkey").withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
+    for row in keys.selectExpr(f"substring({evidence._BODY}, 1, 4096) AS whole", f"substring({evidence._SEEN}, 1, 4096) AS seen", f"length({evidence._SEEN}) AS n").collect():
+        assert row.whole == row.seen and row.n < 2 * 4096
